@@ -69,3 +69,56 @@ def blank(value: Column) -> Column:
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and hand it to ``body``."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+_BOUNDARY = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+
+
+def bare_rx(pattern: str) -> str:
+    """A pattern with explicit white-space and word classes."""
+    return pattern.replace(r"[\s", "[" + SPACES).replace(r"\s", WS).replace(r"\b", _BOUNDARY)
+
+
+def rx(pattern: str) -> str:
+    """``bare_rx`` ignoring case."""
+    return "(?iu)" + bare_rx(pattern)
+
+
+#: marks put around matches; they cannot occur in exchanged text
+OPEN, CLOSE = "\ufdd0", "\ufdd1"
+
+
+def mark_matches(value: Column, pattern: str | Column) -> Column:
+    """Pieces of ``value``: what precedes the first match, then one piece per
+    match, each holding the match, a closing mark and what follows it."""
+    return F.split(F.regexp_replace(value, pattern, f"{OPEN}$0{CLOSE}"), OPEN, -1)
+
+
+def match_spans(pieces: Column, make) -> Column:
+    """``make(start, end, matched)`` for every match in marked pieces."""
+    def span(piece: Column, k: Column) -> Column:
+        start = F.length(F.array_join(F.slice(pieces, F.lit(1), k + 1), "")) - k
+        matched = F.substring_index(piece, CLOSE, 1)
+        return make(start, start + F.length(matched), matched)
+
+    return F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), span)
+
+
+def between(value: Column, start: Column, end: Column) -> Column:
+    """Characters from ``start`` up to ``end`` (0-based, end excluded)."""
+    return F.substr(value, start + 1, F.greatest(end - start, F.lit(0)))
+
+
+def tail(value: Column, start: Column) -> Column:
+    return F.substr(value, start + 1)
+
+
+#: full-width forms and hard spaces, which compatibility composition maps to ASCII
+_WIDE = "".join(chr(0xFF01 + i) for i in range(94)) + "\u3000\u00a0\u202f\uffe1"
+_NARROW = "".join(chr(0x21 + i) for i in range(94)) + "   \u00a3"
+
+
+
+def narrow(value: Column) -> Column:
+    """Full-width letters, digits and marks as plain ones (usable inside lambdas)."""
+    return F.translate(value, _WIDE, _NARROW)
