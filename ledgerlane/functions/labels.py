@@ -148,7 +148,7 @@ def annotate(text: Column) -> Column:
     return let(lines, carry)
 
 
-def best_priority(lines: Column, role: str) -> Column:
+def best_priority(lines: Column, role: str | Column) -> Column:
     """Highest priority of a role's labels, at least 1."""
     per_line = F.transform(
         lines,

@@ -30,6 +30,19 @@ def _nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _nfkc_each(values: pd.Series) -> pd.Series:
+    return values.map(
+        lambda vs: [v if v is None else unicodedata.normalize("NFKC", v) for v in vs], na_action="ignore"
+    )
+
+
+def nfkc_each(values: Column) -> Column:
+    """``nfkc`` of every member of an array of text."""
+    changes = F.exists(values, lambda v: ~v.rlike(_STABLE))
+    return F.coalesce(_nfkc_each(F.when(changes, values)), values)
+
+
 def nfkc(value: Column) -> Column:
     """Compatibility-composed text.  Only rows that can change leave the JVM."""
     return F.coalesce(_nfkc(F.when(~value.rlike(_STABLE), value)), value)

@@ -211,3 +211,79 @@ def domain_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
         "reminders": reminders(spark, folder),
         "document_jobs": document_jobs(spark, folder),
     }
+
+
+# --- receipts -------------------------------------------------------------
+def _grouped(amount: Column, style: Column) -> Column:
+    """Amount text: plain, with commas, or with dots and a decimal comma."""
+    commas = F.format_number(amount, 2)
+    return (
+        F.when(style == "commas", commas)
+        .when(style == "dots", F.translate(commas, ",.", ".,"))
+        .otherwise(amount.cast("string"))
+    )
+
+
+def receipts(spark: SparkSession, folder: str) -> DataFrame:
+    """Receipt text printed from every bill, with known damage.
+
+    By order key: 0 mod 7 conflicting totals, 1 mod 7 cash below the total,
+    2 mod 7 cash and change, 3 mod 7 digit groups, 4 mod 7 dots and a decimal
+    comma, 5 mod 7 an earlier lower total, 6 mod 7 the amount on the next
+    line; 3 mod 11 a second invoice id; 4 mod 5 an unreadable date, 3 mod 5 a
+    date without a label; 4 mod 9 the maker on the next line, 5 mod 9 two
+    makers.
+    """
+    printed = bills(spark, folder)
+    c, o = F.col, order_of(F.col("id"))
+    brand = F.replace(c("brand"), F.lit("Brand#"), F.lit("House "))
+    price = c("purchase_price")
+    style = F.when(o % 7 == 3, "commas").when(o % 7 == 4, "dots").otherwise("plain")
+
+    def money(amount: Column) -> Column:
+        return F.concat(c("currency"), F.lit(" "), _grouped(amount.cast("decimal(12,2)"), style))
+
+    def date(pattern: str, shift: int = 0) -> Column:
+        return F.date_format(F.date_add(c("purchase_date"), shift), pattern)
+
+    when = (
+        F.when(o % 5 == 0, F.concat(F.lit("Invoice date: "), date("dd/MM/yyyy"), F.lit(" Delivery date: "), date("dd/MM/yyyy", 4)))
+        .when(o % 5 == 1, F.concat(F.lit("Date: "), date("d-MMM-yyyy")))
+        .when(o % 5 == 2, F.concat(F.lit("Order date: "), date("yyyy-MM-dd", -2), F.lit("\nPurchase date: "), date("yyyy-MM-dd")))
+        .when(o % 5 == 3, F.concat(F.lit("0009 002 "), date("dd/MM/yyyy"), F.lit(" 16:29:12")))
+        .otherwise("Date: unreadable")
+    )
+    maker = (
+        F.when(o % 9 == 4, F.concat(F.lit("Brand:\n"), brand))
+        .when(o % 9 == 5, F.concat(F.lit("Brand: "), brand, F.lit("\nBrand: Other House")))
+        .otherwise(F.concat(F.lit("Brand: "), brand))
+    )
+    total = F.concat(F.lit("Grand Total: "), money(price))
+    sums = F.when(
+        price.isNotNull(),
+        F.when(o % 7 == 0, F.concat(total, F.lit("\nGrand Total: "), money(price + 1)))
+        .when(o % 7 == 1, F.concat(total, F.lit("\nCash: "), money(price - 1)))
+        .when(o % 7 == 2, F.concat(total, F.lit("\nCash: "), money(price + 100), F.lit("\nChange: "), money(F.lit(100))))
+        .when(o % 7 == 5, F.concat(F.lit("Total: "), money(price - 10), F.lit("\n"), total))
+        .when(o % 7 == 6, F.concat(F.lit("Grand Total:\n"), money(price)))
+        .otherwise(total),
+    )
+    text = F.concat_ws(
+        "\n",
+        F.concat(F.lit("Seller: "), c("retailer"), F.lit(" Buyer: Customer "), c("user_id")),
+        F.concat(F.lit("Invoice No: "), c("invoice_number"), F.lit(" Order No: ORDER-"), F.lpad(o.cast("string"), 8, "0")),
+        when,
+        F.concat(F.lit("Product name: "), c("name"), F.lit(" Model: "), c("model_number")),
+        maker,
+        F.concat_ws(" ", F.concat(F.lit("Serial number: "), c("serial_number")), F.concat(F.lit("Barcode: "), c("barcode"))),
+        F.lit("Subtotal: 1.00"),
+        sums,
+        F.concat(F.lit("Warranty: "), c("warranty_months"), F.lit(" months")),
+        F.concat(F.lit("Return window: "), c("return_window_days"), F.lit(" days")),
+        F.when(o % 11 == 3, F.lit("Invoice No: SERVICE000123")),
+    )
+    return printed.select(
+        c("id").alias("document_id"), "user_id", text.alias("text"), o.alias("o"), "name", brand.alias("brand"),
+        "retailer", "invoice_number", "model_number", "serial_number", "barcode", "purchase_price", "currency",
+        "purchase_date", "warranty_months", "return_window_days",
+    )
