@@ -6,6 +6,7 @@ depend on how the regular-expression engine reads the short classes.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -89,6 +90,8 @@ _BOUNDARY = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9
 
 def bare_rx(pattern: str) -> str:
     """A pattern with explicit white-space and word classes."""
+    # where an alternative starts with a word, only its left side matters
+    pattern = re.sub(r"(^|\||\()\\b", lambda m: m.group(1) + LEFT, pattern)
     return pattern.replace(r"[\s", "[" + SPACES).replace(r"\s", WS).replace(r"\b", _BOUNDARY)
 
 

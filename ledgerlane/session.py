@@ -19,6 +19,8 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+    # long expressions are built much faster without per-call stack capture
+    spark.conf.set("spark.python.sql.dataFrameDebugging.enabled", "false")
     return spark
 
 
@@ -51,3 +53,14 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     if df.limit(limit + 1).count() <= limit:
         return F.broadcast(df)
     return df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-spread rows ahead of work that is heavy per row.
+
+    Adaptive execution merges partitions by bytes; text mining costs far more
+    per byte than that assumes.  A fixed partition count is left alone.
+    """
+    spark = df.sparkSession
+    count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(count, key)

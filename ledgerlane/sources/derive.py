@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ledgerlane.fixed import CATEGORIES
 from ledgerlane.functions.deadlines import deadline
 from ledgerlane.operators.reminders import schedule
+from ledgerlane.session import spread
 from ledgerlane.sources.tables import read_star
 
 AS_OF = "1999-01-01 00:00:00"
@@ -234,7 +235,7 @@ def receipts(spark: SparkSession, folder: str) -> DataFrame:
     date without a label; 4 mod 9 the maker on the next line, 5 mod 9 two
     makers.
     """
-    printed = bills(spark, folder)
+    printed = spread(bills(spark, folder), "id")
     c, o = F.col, order_of(F.col("id"))
     brand = F.replace(c("brand"), F.lit("Brand#"), F.lit("House "))
     price = c("purchase_price")
