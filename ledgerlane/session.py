@@ -19,8 +19,6 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
-    # long expressions are built much faster without per-call stack capture
-    spark.conf.set("spark.python.sql.dataFrameDebugging.enabled", "false")
     return spark
 
 
