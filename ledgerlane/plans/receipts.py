@@ -474,7 +474,7 @@ def neighbours(spark, folder):
 
 
 @query("s03_s04_read_ocr_payloads", LINES + """
-SELECT document_id, CAST(sum(len(string_split(line, ' '))) AS BIGINT) AS words, 0.9 AS confidence FROM w WHERE line <> '' GROUP BY document_id""")
+SELECT document_id, CAST(sum(len(string_split(line, ' '))) AS BIGINT) AS words, CAST(0.9 AS DOUBLE) AS confidence FROM w WHERE line <> '' GROUP BY document_id""")
 def payloads(spark, folder):
     d = detections(spark, folder)
     one = F.struct(F.struct("text", "confidence").alias("text_prediction"), F.struct("points").alias("bounding_box"))
