@@ -9,6 +9,7 @@ from ledgerlane.llm.common import documents
 from ledgerlane.llm.exact_dedup import exact_groups
 from ledgerlane.llm.line_dedup import drop_site_lines
 from ledgerlane.llm.mixing import mix
+from ledgerlane.llm.near_dedup import near_groups
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -24,6 +25,12 @@ def _query(name: str, sql: str | None = None):
     return register
 
 
+@_query("op2_near_dedup")
+def op2_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Five words, similarity of 0.75 or more."""
+    return near_groups(documents(spark, folder))
+
+
 @_query("op4_mix_sources", """
 WITH sizes AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 rated AS (SELECT source, (SELECT count(*) FROM documents) * (1.0::DOUBLE / (SELECT count(*) FROM sizes)::DOUBLE) / n AS rate FROM sizes),
