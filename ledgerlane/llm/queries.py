@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ledgerlane.llm.common import documents
 from ledgerlane.llm.exact_dedup import exact_groups
 from ledgerlane.llm.line_dedup import drop_site_lines
 from ledgerlane.llm.mixing import mix
 from ledgerlane.llm.near_dedup import near_groups
+from ledgerlane.llm.sentence_pieces import digests
+from ledgerlane.llm.token_files import read_tokens, write_tokens
 
+# Public vocabulary files; every worker must be able to read these paths.
+TOKENIZERS = "/opt/tokenizers"
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -83,3 +86,15 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """)
 def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_groups(documents(spark, folder))
+
+
+@_query("op3_token_files")
+def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Written as flat files with an end id, and read back from them."""
+    written = write_tokens(documents(spark, folder), f"{TOKENIZERS}/word_bpe_49k.json", end_id=2)
+    return read_tokens(spark, written, with_ids=False)
+
+
+@_query("op8_sentence_pieces")
+def op8_sentence_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return digests(documents(spark, folder), f"{TOKENIZERS}/piece_bpe_32k.model")
