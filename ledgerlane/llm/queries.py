@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerlane.llm.common import documents
 from ledgerlane.llm.exact_dedup import exact_groups
 from ledgerlane.llm.line_dedup import drop_site_lines
 from ledgerlane.llm.mixing import mix
 from ledgerlane.llm.near_dedup import near_groups
+from ledgerlane.llm.secrets import KINDS, find_secrets
 from ledgerlane.llm.sentence_pieces import digests
+from ledgerlane.llm.spots import edited_fingerprints
 from ledgerlane.llm.token_files import read_tokens, write_tokens
 
 # Public vocabulary files; every worker must be able to read these paths.
@@ -98,3 +101,23 @@ def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op8_sentence_pieces")
 def op8_sentence_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return digests(documents(spark, folder), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
+@_query("op6_secrets")
+def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = find_secrets(documents(spark, folder), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    return found.select("doc_id", *[count(kind) for kind in KINDS], F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"),
+                        joined(F.col("spans")).alias("spans"))
+
+
+@_query("op10_spot_fingerprints")
+def op10_spot_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return edited_fingerprints(documents(spark, folder))

@@ -64,9 +64,10 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hash_words(data, bounds)
 
 
-def hash_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def hash_words(data: np.ndarray, bounds: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """``gaps`` says which of the 256 bytes are no part of a word."""
     data = _LOWER[data]
-    inside = ~_SPACE[data]
+    inside = ~gaps[data]
     first = np.zeros(len(data) + 1, dtype=bool)
     first[bounds] = True  # a text starts here, or the last one ends
     opens = inside.copy()
