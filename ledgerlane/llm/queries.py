@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlane.llm.common import documents
 from ledgerlane.llm.exact_dedup import exact_groups
+from ledgerlane.llm.language_id import held_out, identify, learn
 from ledgerlane.llm.line_dedup import drop_site_lines
 from ledgerlane.llm.mixing import mix
 from ledgerlane.llm.near_dedup import near_groups
@@ -121,3 +122,11 @@ def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op10_spot_fingerprints")
 def op10_spot_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return edited_fingerprints(documents(spark, folder))
+
+
+@_query("op1_language_id")
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Learned from three quarters of the labelled documents."""
+    docs = documents(spark, folder)
+    model = learn(docs.filter(~held_out()))
+    return identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "bits_per_byte")
