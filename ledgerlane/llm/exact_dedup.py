@@ -64,8 +64,10 @@ def _name_texts(rows: DataFrame) -> DataFrame:
     repeated = marks.groupBy("mark").agg(F.count("*").alias("times")).filter("times > 1").select("mark")
     full = marks.join(repeated, "mark").groupBy("row").agg(F.count("*").alias("known"))
     # Texts all of whose blocks may occur elsewhere.
-    open_rows = rows.join(full, "row").filter(F.size("marks") == F.col("known"))
-    parts = open_rows.select("row", "doc_id", F.size("blocks").alias("n"), F.posexplode("blocks").alias("pos", "key"))
+    sizes = rows.select("row", F.size("marks").alias("n"))
+    open_rows = cut(sizes.join(full, "row").filter("known = n").select("row", "n"))
+    parts = cut(rows.select("row", "doc_id", "blocks").join(open_rows, "row")
+                .select("row", "doc_id", "n", F.posexplode("blocks").alias("pos", "key")))
     ends = None
     rounds = 0
     while True:
