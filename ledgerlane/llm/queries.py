@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlane.llm import language_model
 from ledgerlane.llm.common import documents
 from ledgerlane.llm.exact_dedup import exact_groups
 from ledgerlane.llm.language_id import held_out, identify, learn
@@ -130,3 +131,13 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     model = learn(docs.filter(~held_out()))
     return identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+@_query("op9_language_model")
+def op9_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    """Learned from four fifths of the documents."""
+    docs = documents(spark, folder)
+    held_out = language_model.held_out()
+    model = language_model.train(docs.filter(~held_out))
+    scored = language_model.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
