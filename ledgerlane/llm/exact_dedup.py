@@ -1,10 +1,10 @@
 """Exact duplicates by deterministic block naming.
 
 Every text is cut into blocks of a fixed number of bytes.  Equal blocks get the
-same integer name (their place among the sorted blocks), then adjacent names
+same integer name (their place among the blocks, sorted by hash and bytes), then adjacent names
 are paired and every distinct pair is named in the same way, until a text has
 one name.  Two texts have the same name after the same number of rounds if and
-only if their bytes are equal: names stand for sorted bytes, not for hashes.
+only if their bytes are equal: names stand for bytes, not for hashes.
 
 A text holding a block, or a pair of names, that occurs only once can have no
 equal, so it is settled and leaves the later rounds.  For the first round the
@@ -94,7 +94,10 @@ def _named(parts: DataFrame) -> DataFrame:
     share is one row of the sort; the join back can split it.
     """
     keys = parts.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key")
-    names = cut(keys.orderBy("key").withColumn("name", F.monotonically_increasing_id()))
+    # Ordered by hash, then bytes: the ranges of the sort are even, and what is
+    # sampled for their bounds is small whatever the size of a block.
+    ordered = keys.withColumn("mark", F.xxhash64("key")).repartitionByRange("mark").sortWithinPartitions("mark", "key")
+    names = cut(ordered.select("key", F.monotonically_increasing_id().alias("name")))
     found = parts.join(names, "key").select("row", "doc_id", "n", "pos", "name")
     full = found.groupBy("row").agg(F.count("*").alias("known"))
     return found.join(full, "row").filter("known = n").drop("known")
