@@ -1,19 +1,51 @@
-"""From raw documents to token ids, stage by stage."""
+"""From raw documents to token ids, stage by stage.
+
+Each stage takes what the one before it kept.  All but the last return the
+columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from ledgerlane.llm import language_id as lid
 from ledgerlane.llm.common import documents, saved
 from ledgerlane.llm.line_dedup import drop_site_lines
 from ledgerlane.llm.mixing import mix
+from ledgerlane.llm.near_dedup import near_groups
+from ledgerlane.llm.sentence_pieces import encode
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Only documents whose text some language fits.
+
+    A text without letters goes, and one that takes more than ``lid.MAX_BITS``
+    bits a byte in every language.  Labels stay as they are.
+    """
+    model = lid.learn(docs)
+    kept = lid.identify(docs, model, text_col="text", keep=COLUMNS[1:])
+    fits = (F.col("lang_pred") != lid.UNKNOWN) & (F.col("bits_per_byte") <= lid.MAX_BITS)
+    return kept.filter(fits).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found on more than a tenth of a source's pages go."""
-    return drop_site_lines(docs).select(*COLUMNS)
+    cleaned = drop_site_lines(docs)
+    return cleaned.withColumn("n_chars", F.when(F.col("lines.dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the smallest id."""
+    kept = near_groups(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    # Rows that repeat an id are one document, and one row of it stays; rows
+    # without an id stay.  The join has dealt rows by id, so this only sorts.
+    copies = Window.partitionBy("doc_id").orderBy("text")
+    first = docs.join(kept, "doc_id").withColumn("__row", F.row_number().over(copies)).filter("__row = 1")
+    return first.select(*COLUMNS).unionByName(docs.filter("doc_id IS NULL").select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,8 +53,17 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix(docs).select(*COLUMNS)
 
 
-STAGES = [("line_dedup", line_dedup), ("mix_sources", mix_sources)]
+def sentence_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and what they decode to."""
+    return encode(docs, PIECE_MODEL)
+
+
+STAGES = [
+    ("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup),
+    ("mix_sources", mix_sources), ("sentence_pieces", sentence_pieces),
+]
 
+# No SQL for languages, near duplicates or pieces; the tests have a plain version.
 ORACLE_SQL = None
 
 

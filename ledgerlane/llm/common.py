@@ -69,3 +69,14 @@ def unit_hash(*parts: Column) -> Column:
     """
     text = F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(2.0**52)
+
+
+def small_side(df: DataFrame, weight: Column, limit: int) -> DataFrame:
+    """``df``, to be broadcast if its weights really add up to ``limit`` at most.
+
+    It is made once, in the shared folder, and measured; a larger one is
+    returned without a hint, and joins by a shuffle that can split hot keys.
+    """
+    made = cut(df)
+    total = made.agg(F.sum(weight)).first()[0] or 0
+    return F.broadcast(made) if total <= limit else made

@@ -223,8 +223,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loaded = shared.value
         for batch in batches:
-            for piece in pieces(batch, text_col=0):
-                texts = piece.column(0)
+            for piece in pieces(batch, text_col=at):
+                texts = piece.column(at)
                 lettered = pc.fill_null(pc.match_substring_regex(texts, r"\pL"), False).to_numpy(zero_copy_only=False)
                 names, scores, rates = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.nan)
                 if loaded.languages:
@@ -236,13 +236,15 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                     names = [loaded.languages[b] if ok else UNKNOWN for b, ok in zip(best, lettered)]
                     rates = np.where(lettered, least / np.maximum(np.diff(bounds), 1), np.nan)
                 yield pa.RecordBatch.from_arrays(
-                    [*piece.columns[1:], pa.array(names, type=pa.string()), pa.array(scores), pa.array(rates, mask=np.isnan(rates))],
-                    names=[*piece.schema.names[1:], "lang_pred", "score", "bits_per_byte"])
-
-    columns = {"doc_id": F.col(id_col), **{c: F.col(c) for c in keep}}
-    kinds = docs.select(*[c.alias(n) for n, c in columns.items()]).dtypes
-    schema = ", ".join(f"`{n}` {kind}" for n, kind in kinds) + ", lang_pred string, score double, bits_per_byte double"
-    return docs.select(F.col(text_col).alias("__text"), *[c.alias(n) for n, c in columns.items()]).mapInArrow(run, schema)
+                    [*piece.columns[:width], pa.array(names, type=pa.string()), pa.array(scores), pa.array(rates, mask=np.isnan(rates))],
+                    names=[*piece.schema.names[:width], "lang_pred", "score", "bits_per_byte"])
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), *keep)
+    schema = ", ".join(f"`{n}` {kind}" for n, kind in rows.dtypes) + ", lang_pred string, score double, bits_per_byte double"
+    width = len(rows.columns)
+    at = 1 + keep.index(text_col) if text_col in keep else width
+    inputs = rows if at < width else docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).alias("__text"))
+    return inputs.mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

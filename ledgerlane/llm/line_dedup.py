@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlane.llm.common import small_side
+
 # A line is boilerplate on a site if more than this part of its pages hold it,
 RATIO = 0.1
 # and at least so many pages do (below that a small site proves nothing).
 MIN_PAGES = 3
+# Boilerplate lines (of 16 bytes each) of all sites that may be broadcast.
+BROADCAST_LINES = 200_000
 
 
 def _mark(line: Column) -> Column:
@@ -54,7 +58,7 @@ def drop_site_lines(docs: DataFrame, host: str | Column = "source", text_col: st
     site = F.col(host) if isinstance(host, str) else host
     text = F.col(text_col)
     marked = boilerplate(docs, site.cast("string"), text, ratio, min_pages)
-    lines = marked.select(F.col("host").alias("__host"), F.col("marks").alias("__marks"))
+    lines = small_side(marked.select(F.col("host").alias("__host"), F.col("marks").alias("__marks")), F.size("__marks"), BROADCAST_LINES)
     joined = docs.join(lines, site.cast("string").eqNullSafe(F.col("__host")), "left")
     parts = F.split(text, "\n", -1)
     known = F.coalesce(F.col("__marks"), F.array().cast(lines.schema["__marks"].dataType))

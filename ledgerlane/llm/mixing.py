@@ -13,9 +13,11 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlane.llm.common import unit_hash
+from ledgerlane.llm.common import small_side, unit_hash
 
 SEED = 17
+# Points (of 8 bytes each) of all sources' distributions that may be broadcast.
+BROADCAST_POINTS = 500_000
 
 
 def rates(docs: DataFrame, source_col: str = "source", weights: Mapping[str, float] | None = None,
@@ -72,8 +74,9 @@ def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id",
     A null source is a source of its own; rows that repeat an id draw the same
     count.  A null id draws by its source alone.  An empty table gives no rows.
     """
-    table = rates(docs, source_col, weights, total).select(F.col("source").alias("__source"), F.col("rate").alias("__rate"),
-                                                           F.col("cdf").alias("__cdf"))
+    table = small_side(
+        rates(docs, source_col, weights, total).select(F.col("source").alias("__source"), F.col("rate").alias("__rate"), F.col("cdf").alias("__cdf")),
+        F.size("__cdf"), BROADCAST_POINTS)
     rated = docs.join(table, F.col(source_col).eqNullSafe(F.col("__source")))
     identity = [F.lit(seed), F.col(source_col), F.col(id_col)]
     drawn = rated.withColumn("__u", unit_hash(*identity)).withColumn(
