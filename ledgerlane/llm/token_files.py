@@ -86,7 +86,7 @@ def _splits_at_blanks(path: str) -> None:
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
     steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
-    if not any(s["type"] == "Split" and s["behavior"] == "Removed" and s["invert"] and r"[^\s\p{L}\p{N}]+" in str(s["pattern"]) for s in steps):
+    if not any(s["type"] == "Split" and s["behavior"] == "Removed" and s["invert"] and r"[^\s\p{L}\p{N}]+" in s["pattern"].get("Regex", "") for s in steps):
         raise ValueError(f"{path}: not a tokenizer that drops white space")
 
 
