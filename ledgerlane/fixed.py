@@ -54,8 +54,6 @@ AUTOSAVE_QUIET_MS = 600
 
 # --- extraction -----------------------------------------------------------
 EXTRACTION_VERSION = 5
-MAX_TEXT = 60_000
-MAX_QUOTE = 2500
 FIELD_ISSUES = ["missing", "absent", "ambiguous", "unreadable", "rejected"]
 
 #: bill fields as they are named in suggestion payloads -> column names
@@ -174,6 +172,3 @@ SERIAL_LABEL = r"\b(?:serial\s*(?:number|no\.?)|s/n|imei(?:\s*[12])?)\s*[:#]?"
 PRODUCT_HEADER = r"\b(?:product|item)\s*(?:description|name)|\bdescription\b"
 DURATION = r"\b(\d+)\s*(months?|years?|days?)\b"
 
-REPAIR_WINDOW = 12_000
-REPAIR_BEFORE = 1_000
-REPAIR_AFTER = 11_000

@@ -268,15 +268,14 @@ FACTS = [
     ("warrantyExpiresAt", "warranty_expires_at"), ("returnWindowDays", "return_window_days"),
     ("returnExpiresAt", "return_expires_at"),
 ]
-FACT_BILLS = 50
-FACT_CHARS = 60_000
 
 
-def assistant_facts(df: DataFrame) -> DataFrame:
-    """Newest bills of each account as one JSON list of the allowed fields.
+def assistant_facts(df: DataFrame, bills: int | None = None, chars: int | None = None) -> DataFrame:
+    """Bills of each account, newest first, as one JSON list of the allowed fields.
 
-    At most 51 rows per account reach the aggregation; the 51st only shows
-    that the list was cut.
+    With ``bills``, only the newest so many: at most one row more per account
+    reaches the aggregation and shows that the list was cut.  With ``chars``,
+    a longer list is marked ``too_long``.
     """
     newest = Window.partitionBy("user_id").orderBy(F.col("created_at").desc(), F.col("id").asc())
     values = {
@@ -286,18 +285,18 @@ def assistant_facts(df: DataFrame) -> DataFrame:
         "return_expires_at": F.col("return_expires_at").cast("string"),
     }
     fact = F.struct(*[values.get(c, F.col(c)).alias(n) for n, c in FACTS])
-    kept = F.col("position") <= FACT_BILLS
+    kept = F.lit(True) if bills is None else F.col("position") <= bills
+    ranked = df.withColumn("position", F.row_number().over(newest))
     rows = F.array_sort(F.collect_list(F.when(kept, F.struct("position", fact.alias("fact")))))
     return (
-        df.withColumn("position", F.row_number().over(newest))
-        .filter(F.col("position") <= FACT_BILLS + 1)
+        (ranked if bills is None else ranked.filter(F.col("position") <= bills + 1))
         .groupBy("user_id")
-        .agg(rows.alias("rows"), F.count_if(kept).alias("bills"), (F.max("position") > FACT_BILLS).alias("truncated"))
+        .agg(rows.alias("rows"), F.count_if(kept).alias("bills"), F.bool_or(~kept).alias("truncated"))
         .select(
             "user_id", "bills", "truncated",
             F.to_json(F.transform("rows", lambda r: r["fact"]), {"ignoreNullFields": "false"}).alias("facts"),
         )
-        .withColumn("too_long", F.length("facts") > FACT_CHARS)
+        .withColumn("too_long", F.lit(False) if chars is None else F.length("facts") > chars)
     )
 
 

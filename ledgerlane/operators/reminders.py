@@ -135,9 +135,12 @@ def apply_preferences(users_old: DataFrame, users_new: DataFrame, bills: DataFra
 def apply_actions(reminders: DataFrame, actions: DataFrame, as_of: Column) -> DataFrame:
     """Dismiss or snooze a notice together with the older ones beside it.
 
-    ``actions``: user_id, id, action, days - one per (user, item, type).
+    ``actions``: user_id, id, action, days.  Of several actions on the notices
+    of one bill and deadline, the one on the latest notice counts; on the same
+    notice, dismissing comes before snoozing and a longer snooze before a
+    shorter one.
     """
-    notice = (
+    reached = (
         actions.join(
             reminders.filter((F.col("channel") == "in_app") & (F.col("status") == "scheduled")), ["user_id", "id"]
         )
@@ -147,6 +150,9 @@ def apply_actions(reminders: DataFrame, actions: DataFrame, as_of: Column) -> Da
             F.timestamp_add("HOUR", F.col("days") * 24, F.greatest(as_of, _effective())).alias("until"),
         )
     )
+    key = ["user_id", "item_id", "deadline_type"]
+    strongest = F.max(F.struct("up_to", (F.col("action") == "dismiss").alias("dismisses"), "until", "action"))
+    notice = reached.groupBy(*key).agg(strongest.alias("one")).select(*key, "one.action", "one.up_to", "one.until")
     hit = (F.col("status") == "scheduled") & (F.col("remind_at") <= F.col("up_to"))
     return (
         reminders.join(notice, ["user_id", "item_id", "deadline_type"], "left")
@@ -209,9 +215,10 @@ def due_email(reminders: DataFrame, bills: DataFrame, users: DataFrame, as_of: C
     )
 
 
-def due_batch(due: DataFrame, k: int = fixed.QUEUE_BATCH) -> DataFrame:
-    """The earliest ``k`` rows of the whole queue."""
-    return due.orderBy("remind_at", "id").limit(k)
+def due_batch(due: DataFrame, k: int | None = None) -> DataFrame:
+    """The queue in its order, or only its earliest ``k`` rows."""
+    ordered = due.orderBy("remind_at", "id")
+    return ordered if k is None else ordered.limit(k)
 
 
 def opted_in(reminders: DataFrame, users: DataFrame) -> DataFrame:
@@ -232,15 +239,13 @@ def _is_snoozed(as_of: Column) -> Column:
     return F.coalesce(F.col("snoozed_until") > as_of, F.lit(False))
 
 
-def listed(reminders: DataFrame, bills: DataFrame, k: int = 200) -> DataFrame:
-    """First ``k`` in-app reminders of each account."""
+def listed(reminders: DataFrame, bills: DataFrame, k: int | None = None) -> DataFrame:
+    """In-app reminders of each account, or only the first ``k`` of them."""
+    rows = reminder_bills(reminders.filter(F.col("channel") == "in_app"), bills)
+    if k is None:
+        return rows
     first = Window.partitionBy("user_id").orderBy("remind_at", "id")
-    return (
-        reminder_bills(reminders.filter(F.col("channel") == "in_app"), bills)
-        .withColumn("rn", F.row_number().over(first))
-        .filter(F.col("rn") <= k)
-        .drop("rn")
-    )
+    return rows.withColumn("rn", F.row_number().over(first)).filter(F.col("rn") <= k).drop("rn")
 
 
 def reminder_tabs(records: DataFrame, as_of: Column) -> DataFrame:
@@ -320,5 +325,7 @@ def welcome_queue(users: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
-def welcome_batch(users: DataFrame, as_of: Column, k: int = fixed.QUEUE_BATCH) -> DataFrame:
-    return welcome_queue(users, as_of).orderBy("created_at", "id").limit(k)
+def welcome_batch(users: DataFrame, as_of: Column, k: int | None = None) -> DataFrame:
+    """The queue in its order, or only its earliest ``k`` rows."""
+    ordered = welcome_queue(users, as_of).orderBy("created_at", "id")
+    return ordered if k is None else ordered.limit(k)

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlane import fixed
@@ -174,16 +174,20 @@ def job_state() -> Rule:
     return Rule(job_step, ("document_id",), ("kind", "generation"))
 
 
-def recover_stale(jobs: DataFrame, as_of: Column, batch: int = fixed.QUEUE_BATCH) -> DataFrame:
+def recover_stale(jobs: DataFrame, as_of: Column, batch: int | None = None) -> DataFrame:
     """What one recovery run does: fail, requeue and dispatch.
 
-    Returns document_id, action, generation.  At most ``batch`` jobs fail per
-    run and at most ``batch`` are dispatched, oldest first, after requeueing.
+    Returns document_id, action, generation.  With a ``batch``, at most so many
+    jobs fail per run and at most so many are dispatched, oldest first, after
+    requeueing.
     """
+    def first(rows: DataFrame) -> DataFrame:
+        return rows if batch is None else rows.orderBy("updated_at", "document_id").limit(batch)
+
     open_job = F.col("status").isin("queued", "reading", "extracting")
     idle = open_job & F.col("dispatched_at").isNotNull() & (F.col("updated_at") < F.timestamp_add("MINUTE", F.lit(-15), as_of))
     spent = jobs.filter(idle & (F.col("generation") >= fixed.JOB_GENERATIONS))
-    failed = spent.orderBy("updated_at", "document_id").limit(batch).select("document_id", F.lit("fail").alias("action"), "generation")
+    failed = first(spent).select("document_id", F.lit("fail").alias("action"), "generation")
     requeue = F.coalesce(idle & (F.col("generation") < fixed.JOB_GENERATIONS), F.lit(False))
     after = jobs.withColumn("requeued", requeue).select(
         "document_id",
@@ -198,13 +202,8 @@ def recover_stale(jobs: DataFrame, as_of: Column, batch: int = fixed.QUEUE_BATCH
         F.col("dispatched_at").isNull() | (F.col("dispatched_at") < F.timestamp_add("MINUTE", F.lit(-10), as_of))
     )
     # failed jobs of this run are no longer queued
-    dispatched = (
-        after.filter(waiting)
-        .join(failed.select("document_id"), "document_id", "left_anti")
-        .orderBy("updated_at", "document_id")
-        .limit(batch)
-        .select("document_id", F.lit("dispatch").alias("action"), "generation")
-    )
+    dispatched = first(after.filter(waiting).join(failed.select("document_id"), "document_id", "left_anti")).select(
+        "document_id", F.lit("dispatch").alias("action"), "generation")
     return failed.unionByName(requeued).unionByName(dispatched)
 
 
@@ -229,15 +228,18 @@ def fold_drafts() -> Rule:
 
 
 def client_batches(edits: DataFrame, quiet_ms: int = fixed.AUTOSAVE_QUIET_MS) -> DataFrame:
-    """Edits merged until a pause; the last value of each field wins.
+    """Edits of a document merged until it pauses; the last value of each field
+    wins.  An edit of any field restarts the one quiet period of its document.
 
     ``edits``: document_id, ts, event_id, field, value.
     """
-    return (
-        edits.groupBy("document_id", F.session_window("ts", f"{quiet_ms} milliseconds").alias("w"), "field")
-        .agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"))
-        .select("document_id", "w.start", "field", "value")
-    )
+    by_time = Window.partitionBy("document_id").orderBy("ts", "event_id")
+    gap = F.col("ts") >= F.timestamp_add("MILLISECOND", F.lit(quiet_ms), F.lag("ts").over(by_time))
+    batches = edits.withColumn("batch", F.sum(F.coalesce(gap, F.lit(False)).cast("long")).over(by_time))
+    last = batches.groupBy("document_id", "batch", "field").agg(
+        F.max_by("value", F.struct("ts", "event_id")).alias("value"), F.min("ts").alias("first"))
+    whole = Window.partitionBy("document_id", "batch")
+    return last.select("document_id", F.min("first").over(whole).alias("start"), "field", "value")
 
 
 # --- deliveries -----------------------------------------------------------

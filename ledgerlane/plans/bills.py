@@ -189,7 +189,7 @@ facts AS (SELECT user_id, count(*) FILTER (position <= 50) AS bills, max(positio
   FROM ranked WHERE position <= 51 GROUP BY user_id)
 SELECT *, length(facts) > 60000 AS too_long FROM facts"""))
 def assistant_facts(spark, folder):
-    return ops.assistant_facts(derive.bills(spark, folder))
+    return ops.assistant_facts(derive.bills(spark, folder), bills=50, chars=60_000)
 
 
 @query("b12_check_citations", with_(sql.BILLS, """
@@ -199,7 +199,7 @@ SELECT user_id, 'a' || user_id AS answer_id, CAST(user_id AS BIGINT) % 5 <> 0 AS
   CASE WHEN CAST(user_id AS BIGINT) % 5 <> 0 THEN string_agg(id, ',' ORDER BY position) FILTER (position <= 3) END AS sources
 FROM top GROUP BY user_id"""))
 def citations(spark, folder):
-    supplied = ops.recent_bills(derive.bills(spark, folder), ops.FACT_BILLS)
+    supplied = ops.recent_bills(derive.bills(spark, folder), 50)
     # An answer per account citing its three newest bills; every fifth account
     # is also given a bill that was not supplied.
     cited = F.collect_list(F.when(F.col("position") <= 3, F.col("id")))

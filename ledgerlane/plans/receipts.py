@@ -16,7 +16,6 @@ from ledgerlane.operators import scoring as sc
 from ledgerlane.plans import sql
 from ledgerlane.plans.registry import query
 from ledgerlane.plans.sql import with_
-from ledgerlane.session import spread
 from ledgerlane.sources import derive
 from ledgerlane.sources import payloads as pl
 from ledgerlane.sources.tables import read_star
@@ -34,7 +33,7 @@ def plain_docs(spark, folder):
 
 
 def corpus(spark, folder):
-    return spread(read_star(spark, folder, "documents").select(F.col("doc_id").alias("document_id"), "text"), "document_id")
+    return read_star(spark, folder, "documents").select(F.col("doc_id").alias("document_id"), "text")
 
 
 # --- scalar rules ---------------------------------------------------------
@@ -215,7 +214,7 @@ SELECT doc_id AS document_id, CASE WHEN length(text) <= 12000 THEN text ELSE
  substr(text, greatest(1, strpos(text, substr(text, 5001, 40)) - 1000), strpos(text, substr(text, 5001, 40)) - 1 + 11000 - greatest(0, strpos(text, substr(text, 5001, 40)) - 1001)) END AS part FROM documents""")
 def repair_window(spark, folder):
     return corpus(spark, folder).select(
-        "document_id", ev.repair_window(F.col("text"), F.substring("text", 5001, 40)).alias("part")
+        "document_id", ev.repair_window(F.col("text"), F.substring("text", 5001, 40), 12_000, 1_000, 11_000).alias("part")
     )
 
 
@@ -311,7 +310,7 @@ def read_candidates(spark, folder):
 
 
 @query("v01_quote_grounded", with_(PRINTED, """
-SELECT document_id, o % 3 <> 0 AS name_grounded, NOT (price IS NULL OR o % 7 IN (3, 4)) AS price_grounded FROM r"""))
+SELECT document_id, o % 3 <> 0 AS name_grounded, NOT (price IS NULL OR (o % 7 = 3 AND price >= 1000) OR o % 7 = 4) AS price_grounded FROM r"""))
 def grounded(spark, folder):
     rows = cd.read_candidates(suggestions(spark, folder)).withColumn("source", tx.nfkc(F.col("text")))
 
@@ -420,7 +419,7 @@ def detections(spark, folder):
     A conversation stands for a document and a turn for a page.  Odd pages
     lean a little and give four corners; even pages give two.
     """
-    turns = spread(read_star(spark, folder, "conversations"), "conv_id").select(
+    turns = read_star(spark, folder, "conversations").select(
         F.col("conv_id").cast("string").alias("document_id"), F.col("turn").cast("int").alias("page"), "text"
     )
     lines = turns.select("document_id", "page", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
@@ -456,7 +455,7 @@ def position_words(spark, folder):
 
 
 @query("o02_o08_read_layout", LINES + """, p AS (SELECT document_id, turn, string_agg(line, chr(10) ORDER BY n) AS page FROM w WHERE line <> '' GROUP BY ALL)
-SELECT document_id, substr(string_agg(page, chr(10) || chr(10) ORDER BY turn), 1, 100000) AS text FROM p GROUP BY document_id""")
+SELECT document_id, string_agg(page, chr(10) || chr(10) ORDER BY turn) AS text FROM p GROUP BY document_id""")
 def read_layout(spark, folder):
     return ocr.read_layout(detections(spark, folder))
 

@@ -42,8 +42,8 @@ def schedule_changed(spark, folder):
 
 
 @query("r04_apply_schedule", with_(sql.REMINDERS, f"""
-, touched AS (SELECT * FROM bills WHERE o % 3 = 0),
-plan AS (SELECT c.* FROM channels c JOIN touched t ON t.user_id = c.user_id AND t.id = c.item_id WHERE c.remind_at > {sql.AS_OF})
+, touched AS MATERIALIZED (SELECT * FROM bills WHERE o % 3 = 0),
+plan AS MATERIALIZED (SELECT c.* FROM channels c JOIN touched t ON t.user_id = c.user_id AND t.id = c.item_id WHERE c.remind_at > {sql.AS_OF})
 SELECT r.user_id, r.item_id, r.deadline_type, {ts('r.remind_at')}, r.channel,
  CASE WHEN p.item_id IS NOT NULL AND r.sent_at IS NULL AND r.delivery_started_at IS NULL THEN 'scheduled'
       WHEN r.status = 'scheduled' AND r.o % 3 = 0 THEN 'cancelled' ELSE r.status END AS status,
@@ -138,7 +138,7 @@ def due_email(spark, folder):
     return _due(spark, folder).select("user_id", "id", "remind_at")
 
 
-@query("k09_due_email_batch", with_(sql.REMINDERS, f", {DUE_EMAIL} SELECT user_id, id, {ts('remind_at')} FROM due ORDER BY due.remind_at, id LIMIT 50"))
+@query("k09_due_email_batch", with_(sql.REMINDERS, f", {DUE_EMAIL} SELECT user_id, id, {ts('remind_at')} FROM due "))
 def due_email_batch(spark, folder):
     return ops.due_batch(_due(spark, folder)).select("user_id", "id", "remind_at")
 
@@ -201,7 +201,7 @@ def due_notices(spark, folder):
 
 
 LISTED = """
-listed AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY remind_at, id) AS rn FROM reminders WHERE channel = 'in_app') WHERE rn <= 200)"""
+listed AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY remind_at, id) AS rn FROM reminders WHERE channel = 'in_app'))"""
 
 
 def _listed(spark, folder):
@@ -240,7 +240,7 @@ def welcome_queue(spark, folder):
 
 @query("k11_welcome_batch", with_(sql.USERS, f"""
 SELECT id, email, {ts('created_at')} FROM users WHERE welcome_status = 'pending' AND welcome_attempts < 5
- AND (welcome_lease_until IS NULL OR welcome_lease_until < {sql.AS_OF}) ORDER BY users.created_at, id LIMIT 50"""))
+ AND (welcome_lease_until IS NULL OR welcome_lease_until < {sql.AS_OF}) """))
 def welcome_batch(spark, folder):
     return ops.welcome_batch(derive.users(spark, folder), derive.as_of()).select("id", "email", "created_at")
 

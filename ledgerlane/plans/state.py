@@ -162,14 +162,14 @@ def welcome_ledger(spark, folder):
 
 @query("k06_recover_stale", with_(sql.JOBS, """
 , idle AS (SELECT *, coalesce(status IN ('queued','reading','extracting') AND dispatched_at IS NOT NULL AND updated_at < TIMESTAMP '1998-12-31 23:45:00', false) AS stale FROM jobs),
-failed AS (SELECT * FROM idle WHERE stale AND generation >= 3 ORDER BY updated_at, document_id LIMIT 50),
+failed AS (SELECT * FROM idle WHERE stale AND generation >= 3),
 after AS (SELECT document_id, generation + CASE WHEN stale AND generation < 3 THEN 1 ELSE 0 END AS generation,
   CASE WHEN stale AND generation < 3 THEN 'queued' ELSE status END AS status, CASE WHEN stale AND generation < 3 THEN NULL ELSE dispatched_at END AS dispatched_at,
   CASE WHEN stale AND generation < 3 THEN TIMESTAMP '1999-01-01' ELSE updated_at END AS updated_at FROM idle)
 SELECT document_id, 'fail' AS action, generation FROM failed
 UNION ALL SELECT document_id, 'requeue', generation + 1 FROM idle WHERE stale AND generation < 3
 UNION ALL SELECT * FROM (SELECT document_id, 'dispatch', generation FROM after WHERE status = 'queued' AND (dispatched_at IS NULL OR dispatched_at < TIMESTAMP '1998-12-31 23:50:00')
-  AND document_id NOT IN (SELECT document_id FROM failed) ORDER BY updated_at, document_id LIMIT 50)"""))
+  AND document_id NOT IN (SELECT document_id FROM failed))"""))
 def recover_stale(spark, folder):
     return st.recover_stale(derive.document_jobs(spark, folder), derive.as_of())
 
@@ -181,10 +181,11 @@ def account_upsert(spark, folder):
 
 @query("k14_client_batches", """
 WITH e AS (SELECT *, CAST(ts AS TIMESTAMP) AS t FROM events),
-g AS (SELECT *, sum(CASE WHEN prev IS NULL OR t >= prev + INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, event_type ORDER BY t, event_id) AS island
-  FROM (SELECT *, lag(t) OVER (PARTITION BY user_id, event_type ORDER BY t, event_id) AS prev FROM e))
-SELECT CAST(user_id AS VARCHAR) AS document_id, strftime(min(t), '%Y-%m-%d %H:%M:%S') AS start, event_type AS field, arg_max(CAST(CAST(value AS DECIMAL(12,2)) AS VARCHAR), (t, event_id)) AS value
-FROM g GROUP BY user_id, event_type, island""")
+g AS (SELECT *, sum(CASE WHEN prev IS NULL OR t >= prev + INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t, event_id) AS island
+  FROM (SELECT *, lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS prev FROM e)),
+s AS (SELECT *, min(t) OVER (PARTITION BY user_id, island) AS opened FROM g)
+SELECT CAST(user_id AS VARCHAR) AS document_id, strftime(min(opened), '%Y-%m-%d %H:%M:%S') AS start, event_type AS field, arg_max(CAST(CAST(value AS DECIMAL(12,2)) AS VARCHAR), (t, event_id)) AS value
+FROM s GROUP BY user_id, event_type, island""")
 def client_batches(spark, folder):
     edits = events(spark, folder).select(
         F.col("user_id").cast("string").alias("document_id"), "ts", "event_id", F.col("event_type").alias("field"),

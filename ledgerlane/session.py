@@ -1,16 +1,11 @@
-"""Session helpers: settings the engine relies on, the shared checkpoint
-folder, and the one place where a side of a join may be broadcast."""
+"""Session helpers: settings the engine relies on, and the shared checkpoint
+folder."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Largest row count of a table that may be hinted as a broadcast side.  Only
-# tables whose size was just counted (or that are literals) pass through here.
-BROADCAST_ROWS = 200_000
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -25,11 +20,14 @@ def configure(spark: SparkSession) -> SparkSession:
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    A local folder is used only where the session names none (tests).
+    A local session may leave it unset and then gets a temporary folder; on a
+    cluster that would be a folder of the driver alone, so it is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     folder = tempfile.mkdtemp(prefix="ledgerlane-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -42,17 +40,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint ``df`` as a broadcast side only if it really is small.
-
-    The count stops at ``limit + 1`` rows; a larger table is returned without
-    a hint, so Catalyst falls back to a shuffled join.
-    """
-    if df.limit(limit + 1).count() <= limit:
-        return F.broadcast(df)
-    return df
-
-
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Hash-spread rows ahead of work that is heavy per row.
 
