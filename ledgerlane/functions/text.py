@@ -129,12 +129,22 @@ def tail(value: Column, start: Column) -> Column:
     return F.substr(value, start + 1)
 
 
-#: full-width forms and hard spaces, which compatibility composition maps to ASCII
-_WIDE = "".join(chr(0xFF01 + i) for i in range(94)) + "\u3000\u00a0\u202f\uffe1"
-_NARROW = "".join(chr(0x21 + i) for i in range(94)) + "   \u00a3"
+def _composing() -> dict[str, str]:
+    """Characters that composition turns into one plain character."""
+    found = {}
+    for first, last in ((0x80, 0x33FF), (0xF900, 0xFFFF), (0x1D400, 0x1D7FF), (0x1F100, 0x1F2FF)):
+        for code in range(first, last + 1):
+            plain = unicodedata.normalize("NFKC", chr(code))
+            if len(plain) == 1 and plain != chr(code) and (ord(plain) < 0x80 or plain in "\u00a3\u20ac\u20b9"):
+                found[chr(code)] = plain
+    return found
 
 
+_PLAIN = _composing()
+_WIDE, _NARROW = "".join(_PLAIN), "".join(_PLAIN.values())
+
 
 def narrow(value: Column) -> Column:
-    """Full-width letters, digits and marks as plain ones (usable inside lambdas)."""
-    return F.translate(value, _WIDE, _NARROW)
+    """Letters, digits, marks and money signs as composition writes them
+    (usable inside lambdas)."""
+    return F.replace(F.translate(value, _WIDE, _NARROW), F.lit("\u20a8"), F.lit("Rs"))
