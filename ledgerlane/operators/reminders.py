@@ -221,6 +221,24 @@ def due_batch(due: DataFrame, k: int | None = None) -> DataFrame:
     return ordered if k is None else ordered.limit(k)
 
 
+def sendable(attempts: DataFrame, reminders: DataFrame, bills: DataFrame, users: DataFrame) -> DataFrame:
+    """Attempts with ``allowed``: at the time of the attempt the owner wants
+    mail at that address, the notice is due and its deadline has not passed.
+
+    ``attempts``: reminder_id, ts, recipient and any other columns.
+    """
+    facts = (
+        reminder_bills(reminders.filter(F.col("channel") == "email"), bills)
+        .join(_owners(users), "user_id")
+        .select(F.col("id").alias("reminder_id"), "email", "email_reminders", "timezone",
+                _effective().alias("effective"), _deadline().alias("deadline"))
+    )
+    now = F.col("email_reminders") & (F.col("recipient") == F.col("email")) & (F.col("effective") <= F.col("ts"))
+    day = F.col("deadline") >= dl.local_date(F.col("ts"), F.col("timezone"))
+    own = [c for c in attempts.columns if c != "allowed"]
+    return attempts.join(facts, "reminder_id", "left").select(*own, F.coalesce(now & day, F.lit(False)).alias("allowed"))
+
+
 def opted_in(reminders: DataFrame, users: DataFrame) -> DataFrame:
     """Reminders whose owner wants mail at the address noted on the row."""
     wanted = users.filter(F.col("email_reminders")).select(F.col("id").alias("user_id"), F.col("email").alias("recipient"))

@@ -250,7 +250,7 @@ WINDOW = timedelta(hours=fixed.DELIVERY_WINDOW_HOURS)
 def delivery_step(state: dict, event: dict) -> tuple[dict, str]:
     kind, status, attempts = event["kind"], state.get("status", "scheduled"), state.get("attempts", 0)
     if kind == "attempt":
-        if status != "scheduled":
+        if status != "scheduled" or not event.get("allowed", True):
             return state, "skipped"
         if "_started" in state and event["ts"] - state["_started"] >= WINDOW:
             return {**state, "status": "failed"}, "failed"
@@ -292,8 +292,11 @@ def welcome_step(state: dict, event: dict) -> tuple[dict, str]:
 
 
 def delivery_ledger() -> Rule:
-    """Attempts to send one reminder: lease, fixed recipient, five tries."""
-    return Rule(delivery_step, ("reminder_id",), ("kind", "token", "recipient"))
+    """Attempts to send one reminder: lease, fixed recipient, five tries.
+
+    ``allowed`` says whether it might be sent at that time, see
+    ``reminders.sendable``."""
+    return Rule(delivery_step, ("reminder_id",), ("kind", "token", "recipient", "allowed"))
 
 
 def welcome_ledger() -> Rule:

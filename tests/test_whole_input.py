@@ -76,3 +76,19 @@ def test_composed_money_signs(spark):
     df = spark.createDataFrame([(c,) for c in cells], "raw string").withColumn("cues", am.separator_cues(F.col("raw")))
     got = [r["v"] for r in df.select(am.parse_amount(F.col("raw"), F.col("cues")).cast("string").alias("v")).collect()]
     assert got == ["500.00"] * 4 + ["1500.00", "500.00", "500.00"]
+
+
+def test_attempts_are_checked_again(spark):
+    rows = [("r1", None), ("r2", DAY + dt.timedelta(days=3)), ("r3", None)]
+    notices = spark.createDataFrame([("u", "i", r, "email", "warranty", DAY, s) for r, s in rows],
+                                    "user_id string, item_id string, id string, channel string, deadline_type string, remind_at timestamp, snoozed_until timestamp")
+    bills = spark.createDataFrame([("u", "i", "n", "r", (DAY + dt.timedelta(days=5)).date(), None)],
+                                  "user_id string, id string, name string, retailer string, warranty_expires_at date, return_expires_at date")
+    users = spark.createDataFrame([("u", "UTC", "a@x", True)], "id string, timezone string, email string, email_reminders boolean")
+    tries = [("r1", 1, "a@x"), ("r1", 1, "b@x"), ("r1", 6, "a@x"), ("r2", 1, "a@x"), ("r2", 4, "a@x"), ("r9", 1, "a@x")]
+    attempts = spark.createDataFrame([(r, DAY + dt.timedelta(days=d), to) for r, d, to in tries], "reminder_id string, ts timestamp, recipient string")
+    got = {(r["reminder_id"], r["ts"].day - 1, r["recipient"]): r["allowed"] for r in reminders.sendable(attempts, notices, bills, users).collect()}
+    assert got == dict(zip(tries, [True, False, False, False, True, False]))
+    event = {"kind": "attempt", "ts": DAY, "token": 1, "recipient": "a@x"}
+    assert state.delivery_step({}, {**event, "allowed": False}) == ({}, "skipped")
+    assert state.delivery_step({}, {**event, "allowed": True})[1] == "claimed"
