@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import zoneinfo
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlane import fixed
@@ -320,8 +322,17 @@ def render_reminders(due: DataFrame, base_url: str, sender: str) -> DataFrame:
     )
 
 
-def valid_preferences(users: DataFrame, zones: DataFrame) -> DataFrame:
-    """Accounts with a known zone (``zones.timezone``) and an hour of the day."""
+def known_zones(spark: SparkSession) -> DataFrame:
+    """Names of the public time zone database (some hundred rows)."""
+    return spark.createDataFrame([(z,) for z in sorted(zoneinfo.available_timezones())], "timezone string")
+
+
+def valid_preferences(users: DataFrame, zones: DataFrame | None = None) -> DataFrame:
+    """Accounts with a known zone and an hour of the day.
+
+    ``zones``: a table with a column ``timezone``, by default ``known_zones``.
+    """
+    zones = known_zones(users.sparkSession) if zones is None else zones
     known = zones.select("timezone").distinct().withColumn("known", F.lit(True))
     return users.join(known, "timezone", "left").select(
         F.col("id").alias("user_id"),

@@ -148,14 +148,13 @@ SELECT id AS user_id, CAST(id AS BIGINT) % 10 <> 3 AND CAST(id AS BIGINT) % 11 <
 def valid_preferences(spark, folder):
     users = derive.users(spark, folder)
     key = F.col("id").cast("long")
-    zones = users.select("timezone").distinct()
     broken = users.withColumns(
         {
             "timezone": F.when(key % 10 == 3, "Invalid/Zone").otherwise(F.col("timezone")),
             "reminder_hour": F.when(key % 11 == 4, 24).otherwise(F.col("reminder_hour")),
         }
     )
-    return ops.valid_preferences(broken, zones)
+    return ops.valid_preferences(broken)
 
 
 @query("j01_reminder_bills", with_(sql.REMINDERS, "SELECT r.user_id, r.id, b.name FROM reminders r JOIN bills b ON b.user_id = r.user_id AND b.id = r.item_id"))
