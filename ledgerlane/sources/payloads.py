@@ -94,14 +94,11 @@ def check_originals(files: DataFrame, manifest: DataFrame) -> DataFrame:
 def scan_originals(spark, folder: str, manifest: DataFrame) -> DataFrame:
     """``check_originals`` over a folder whose files are named by document.
 
-    Only the first twelve bytes leave the scan.
+    Sizes come from the listing alone.  Only files of an accepted size are
+    opened (the source takes the filter), and twelve bytes leave the scan.
     """
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-        .select(
-            F.regexp_extract("path", r"([^/]+?)(?:\.[A-Za-z]+)?$", 1).alias("document_id"),
-            "length",
-            F.substring("content", 1, 12).alias("content"),
-        )
-    )
-    return check_originals(files, manifest)
+    scan = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    named = F.regexp_extract("path", r"([^/]+?)(?:\.[A-Za-z]+)?$", 1).alias("document_id")
+    sizes = scan.select(named, "length")
+    heads = scan.filter(F.col("length") <= fixed.MAX_FILE_BYTES).select(named, F.substring("content", 1, 12).alias("content"))
+    return check_originals(sizes.join(heads, "document_id", "left"), manifest)
