@@ -10,12 +10,17 @@ probability of (1 - 0.75^4)^32, about 5 in a million.
 Texts that share a band are candidates.  Their links are confirmed on the full
 shingle sets in two steps:
 
-1. Every member of a band is compared with the smallest member only.  That
-   settles copies, however many there are.
+1. Every member of a band is compared with one hub only: the member that
+   shares bands with the most texts, which of the edited copies of a text is
+   likely the text itself.  That settles copies, however many there are.
 2. Where a band still holds more than one component, its members are dealt in
-   blocks; each pair of blocks is one small task unit, where signatures are
-   compared and only pairs of different components whose estimate comes near
-   the threshold are passed on.  No size is capped, no pair is skipped.
+   blocks; each pair of blocks is one small unit of a task.  Pairs of different
+   components are passed on if their signatures agree well enough and if they
+   can be similar at all: what two texts have in common is at most the smaller
+   of their overlaps with the hub, and what they share outside the hub.  Edited
+   copies that are too far from the hub fall to that bound, so a group of them
+   is not compared pair by pair on its sets.  No size is capped, no pair that
+   may be a link is skipped.
 
 Texts with equal shingle sets are one node throughout.
 """
@@ -40,8 +45,10 @@ BANDS = 32
 # Members of a block that is compared with another one in one step.
 BLOCK = 256
 # Part of the 128 one-byte values that must agree before a pair of step 2 is
-# confirmed on its sets: at J = 0.75, about seven deviations below the mean.
-SIGN = 0.48
+# confirmed on its sets: at J = 0.75, five deviations below the mean.
+SIGN = 0.55
+# Similarity to the hub from which on what lies outside the hub is noted.
+NOTED = 35
 
 _FACTORS = mixed(np.arange(1000, 1000 + PERMUTATIONS, dtype=np.uint64)) | np.uint64(1)
 _SHIFTS = mixed(np.arange(5000, 5000 + PERMUTATIONS, dtype=np.uint64))
@@ -109,35 +116,39 @@ def _sets(words: int):
     return run
 
 
-def _confirm(percent: int):
-    def linked(one: np.ndarray, two: np.ndarray) -> bool:
-        if len(one) > len(two):
-            one, two = two, one
-        at = np.searchsorted(two, one)
-        at[at == len(two)] = 0
-        common = int((two[at] == one).sum())
-        return 100 * common >= percent * (len(one) + len(two) - common)
+def _measure(percent: int):
+    """Overlap of the sets of ``a`` and ``b``, whether they are linked, and (at
+    ``NOTED`` percent or more) the values of ``b`` that ``a`` lacks, in 32 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ones, twos = batch.column(2), batch.column(3)
-            keep = [linked(np.frombuffer(ones[i].as_buffer(), dtype=np.uint64), np.frombuffer(twos[i].as_buffer(), dtype=np.uint64))
-                    for i in range(batch.num_rows)]
-            yield batch.select([0, 1]).filter(pa.array(keep, type=pa.bool_()))
+            common, linked, outside = [], [], []
+            for i in range(batch.num_rows):
+                one, two = (np.frombuffer(c[i].as_buffer(), dtype=np.uint64) for c in (ones, twos))
+                at = np.searchsorted(one, two)
+                at[at == len(one)] = 0
+                inside = one[at] == two
+                n = int(inside.sum())
+                union = len(one) + len(two) - n
+                common.append(n)
+                linked.append(100 * n >= percent * union)
+                outside.append((two[~inside] >> np.uint64(32)).astype("<u4").tobytes() if 100 * n >= NOTED * union else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, type=pa.int64()), pa.array(linked, type=pa.bool_()),
+                                              pa.array(outside, type=pa.binary())], names=["a", "b", "common", "linked", "outside"])
 
     return run
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose full shingle sets are similar enough."""
+def _measured(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    """``a, b, common, linked, outside`` of the pairs, from full shingle sets."""
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    # Rows that repeat an id: the sets of the row that stands for its node.
     texts = docs.join(wanted, docs["doc_id"] == wanted["id"], "left_semi").select("doc_id", "text")
     sets = cut(texts.mapInArrow(_sets(words), "id long, shingles binary")).dropDuplicates(["id"])
     one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("one"))
     two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("two"))
     both = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "one", "two")
-    return both.mapInArrow(_confirm(percent), "a long, b long")
+    return both.mapInArrow(_measure(percent), "a long, b long, common long, linked boolean, outside binary")
 
 
 def _compare_blocks(percent: int):
@@ -148,19 +159,29 @@ def _compare_blocks(percent: int):
 
     def compared(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         side, node, size, component = (rows.column(k).to_numpy() for k in range(3, 7))
-        sign = np.frombuffer(b"".join(rows.column(7).to_pylist()), dtype=np.uint8).reshape(len(node), -1)
+        # Overlap with the hub and what lies outside it, where noted.
+        common = rows.column(7).fill_null(-1).to_numpy()
+        outs = [np.frombuffer(o or b"", dtype="<u4") for o in rows.column(8).to_pylist()]
+        sign = np.frombuffer(b"".join(rows.column(9).to_pylist()), dtype=np.uint8).reshape(len(node), -1)
+        flat = np.concatenate(outs)
+        owner = np.repeat(np.arange(len(outs)), [len(o) for o in outs])
         left = np.flatnonzero(side != 1)
         right = np.flatnonzero(side != 0)
         need = SIGN * sign.shape[1]
-        a, b = [], []
+        a, b = [node[:0]], [node[:0]]
         for i in left:
             other = right[right > i] if side[i] == 2 else right
             fits = (component[other] != component[i]) & (100 * np.minimum(size[other], size[i]) >= percent * np.maximum(size[other], size[i]))
             other = other[fits]
-            close = other[(sign[other] == sign[i]).sum(axis=1) >= need]
-            a.append(np.minimum(node[i], node[close]))
-            b.append(np.maximum(node[i], node[close]))
-        return (np.concatenate(a), np.concatenate(b)) if a else (node[:0], node[:0])
+            other = other[(sign[other] == sign[i]).sum(axis=1) >= need]
+            if len(other) and common[i] >= 0:
+                shared = np.bincount(owner[np.isin(flat, outs[i])], minlength=len(node))[other]
+                most = np.minimum(common[other], common[i]) + shared
+                possible = (common[other] < 0) | (100 * most >= percent * (size[other] + size[i] - most))
+                other = other[possible]
+            a.append(np.minimum(node[i], node[other]))
+            b.append(np.maximum(node[i], node[other]))
+        return np.concatenate(a), np.concatenate(b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -212,22 +233,30 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sign").alias("sign"))
     )
     members = nodes.select("node", F.col("n_shingles").alias("size"), F.explode("bands").alias("band"))
-    shared = cut(
-        members.groupBy("band").agg(F.min(F.struct("node", "size")).alias("hub"), F.max("node").alias("top"), F.count("*").alias("members"))
-        .filter("hub.node < top").drop("top")
+    shared = members.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1")
+    in_shared = cut(members.join(shared, "band").select("band", "node", "size", "members"))
+    degrees = in_shared.groupBy("node").agg(F.sum("members").alias("degree"))
+    hubs = cut(
+        in_shared.join(degrees, "node").groupBy("band")
+        .agg(F.max(F.struct("degree", (-F.col("node")).alias("minus"), F.col("size").alias("hub_size"))).alias("hub"))
+        .select("band", (-F.col("hub.minus")).alias("hub"), "hub.hub_size")
     )
-    near_size = 100 * F.least("size", "hub.size") >= percent * F.greatest("size", "hub.size")
-    in_shared = cut(members.join(shared, "band").select("band", "node", "size", "hub", "members"))
-    stars = in_shared.filter((F.col("node") != F.col("hub.node")) & near_size).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
-    links = cut(_confirmed(texts, cut(stars), words, percent))
+    starred = cut(in_shared.join(hubs, "band"))
+    near_size = 100 * F.least("size", "hub_size") >= percent * F.greatest("size", "hub_size")
+    stars = cut(starred.filter((F.col("node") != F.col("hub")) & near_size).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+    measured = cut(_measured(texts, stars, words, percent))
+    links = measured.filter("linked").select("a", "b")
     labels = cut(components(links))
 
     # What shares a band and is not yet one component.
-    labelled = in_shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labelled = starred.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed_bands = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("band")
-    open_members = labelled.join(mixed_bands, "band").select("band", "members", "node", "size", "component")
+    noted = measured.filter("outside IS NOT NULL").select(F.col("a").alias("hub"), F.col("b").alias("node"), F.col("common"), "outside")
+    own = F.col("node") == F.col("hub")
+    open_members = labelled.join(mixed_bands, "band").join(noted, ["hub", "node"], "left").select(
+        "band", "members", "node", "size", "component", F.when(own, F.col("size")).otherwise(F.col("common")).alias("common"), "outside")
     rest = cut(_close_pairs(open_members, nodes.select("node", "sign"), percent).distinct())
-    more = _confirmed(texts, rest, words, percent)
+    more = _measured(texts, rest, words, percent).filter("linked").select("a", "b")
     all_labels = components(links.unionByName(more))
 
     parts = signed.select("doc_id", *identity).join(nodes.select("node", *identity), identity, "left")
@@ -240,14 +269,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _close_pairs(members: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
     """Deal the members of each band in blocks, and compare blocks with blocks."""
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    dealt = members.select("band", "node", "size", "component", blocks.alias("blocks"),
+    dealt = members.select("band", "node", "size", "component", "common", "outside", blocks.alias("blocks"),
                            F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
     units = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
         "band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
         F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"),
-        "node", "size", "component")
+        "node", "size", "component", "common", "outside")
     return (
-        units.join(signs, "node").select("band", "low", "high", "side", "node", "size", "component", "sign")
+        units.join(signs, "node").select("band", "low", "high", "side", "node", "size", "component", "common", "outside", "sign")
         .repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
         .mapInArrow(_compare_blocks(percent), "a long, b long")
     )
