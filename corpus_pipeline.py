@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlane.llm import language_id as lid
-from ledgerlane.llm.common import documents, saved
+from ledgerlane.llm.common import cut, documents, saved, small_side
 from ledgerlane.llm.line_dedup import drop_site_lines
 from ledgerlane.llm.mixing import mix
-from ledgerlane.llm.near_dedup import near_groups
+from ledgerlane.llm.near_dedup import BROADCAST_IDS, near_groups
 from ledgerlane.llm.sentence_pieces import encode
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -40,12 +40,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the smallest id."""
-    kept = near_groups(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    # Rows that repeat an id are one document, and one row of it stays; rows
-    # without an id stay.  The join has dealt rows by id, so this only sorts.
+    groups = cut(near_groups(docs).filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows")))
+
+    def rows_of(ids: DataFrame) -> DataFrame:
+        return docs.join(small_side(ids.select("doc_id"), F.lit(1), BROADCAST_IDS), "doc_id", "left_semi").select(*COLUMNS)
+
+    # Rows without an id stay; rows that repeat an id are one document, and one
+    # row of it stays.
+    kept = rows_of(groups.filter("rows = 1")).unionByName(docs.filter("doc_id IS NULL").select(*COLUMNS))
+    repeated = groups.filter("rows > 1")
+    if repeated.isEmpty():
+        return kept
     copies = Window.partitionBy("doc_id").orderBy("text")
-    first = docs.join(kept, "doc_id").withColumn("__row", F.row_number().over(copies)).filter("__row = 1")
-    return first.select(*COLUMNS).unionByName(docs.filter("doc_id IS NULL").select(*COLUMNS))
+    first = rows_of(repeated).withColumn("__row", F.row_number().over(copies)).filter("__row = 1")
+    return kept.unionByName(first.select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlane.llm.common import cut, small_batches
+from ledgerlane.llm.common import cut, small_batches, small_side
 from ledgerlane.llm.components import components
 from ledgerlane.llm.words import distinct, mixed, pieces, runs, words_of
 
@@ -49,6 +49,8 @@ BLOCK = 256
 SIGN = 0.55
 # Similarity to the hub from which on what lies outside the hub is noted.
 NOTED = 35
+# Ids that may be broadcast to pick texts; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 _FACTORS = mixed(np.arange(1000, 1000 + PERMUTATIONS, dtype=np.uint64)) | np.uint64(1)
 _SHIFTS = mixed(np.arange(5000, 5000 + PERMUTATIONS, dtype=np.uint64))
@@ -143,6 +145,7 @@ def _measure(percent: int):
 def _measured(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """``a, b, common, linked, outside`` of the pairs, from full shingle sets."""
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    wanted = small_side(wanted, F.lit(1), BROADCAST_IDS)
     texts = docs.join(wanted, docs["doc_id"] == wanted["id"], "left_semi").select("doc_id", "text")
     sets = cut(texts.mapInArrow(_sets(words), "id long, shingles binary")).dropDuplicates(["id"])
     one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("one"))
@@ -257,7 +260,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "band", "members", "node", "size", "component", F.when(own, F.col("size")).otherwise(F.col("common")).alias("common"), "outside")
     rest = cut(_close_pairs(open_members, nodes.select("node", "sign"), percent).distinct())
     more = _measured(texts, rest, words, percent).filter("linked").select("a", "b")
-    all_labels = components(links.unionByName(more))
+    all_labels = _joined(labels, cut(more))
 
     parts = signed.select("doc_id", *identity).join(nodes.select("node", *identity), identity, "left")
     found = parts.join(all_labels, "node", "left")
@@ -266,6 +269,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after further links: only components are linked anew."""
+    ends = links
+    for end in ("a", "b"):
+        known = labels.select(F.col("node").alias(end), F.col("component").alias(f"top_{end}"))
+        ends = ends.join(known, end, "left").withColumn(end, F.coalesce(f"top_{end}", end)).drop(f"top_{end}")
+    tops = cut(components(ends))
+    moved = labels.join(tops.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select(
+        "node", F.coalesce("top", "component").alias("component"))
+    return moved.unionByName(tops.join(labels.select("node"), "node", "left_anti"))
+
+
 def _close_pairs(members: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
     """Deal the members of each band in blocks, and compare blocks with blocks."""
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
