@@ -17,7 +17,7 @@ _CODEC = "zstd"
 
 def _squeeze(numbers: np.ndarray) -> bytes:
     """Bytes of equal weight stand together, which compresses small numbers."""
-    planes = np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), -1).T)
+    planes = np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), numbers.itemsize).T)
     return pa.compress(planes.tobytes(), codec=_CODEC, asbytes=True)
 
 

@@ -2,7 +2,8 @@
 
 A folder holds, for every part of the corpus in ascending id order:
 
-* ``*.tokens``: token ids of all its documents, unsigned 32-bit, little-endian;
+* ``*.tokens``: token ids of all its documents, little-endian, unsigned 16-bit
+  if the vocabulary has at most 65,536 ids, else 32-bit;
 * ``*.offsets``: where each document ends in that file, in tokens, unsigned 64-bit;
 * ``*.documents``: the document ids, signed 64-bit (``nulls`` of them, at the front, are null);
 
@@ -17,7 +18,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlane.llm.common import cut, fresh_folder, small_batches
+from ledgerlane.llm.counted import mapped, read_json, write_json
 from ledgerlane.llm.memo import Memo
 from ledgerlane.llm.words import pieces
 
@@ -99,6 +100,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str | Non
     all written, ordered by their texts; null ids come first.
     """
     _splits_at_blanks(tokenizer)
+    ids_used = max(word_ids(tokenizer).tokenizer.get_vocab_size(), end_id + 1)
+    token_type = "uint16" if ids_used <= 1 << 16 else "uint32"
     spark = docs.sparkSession
     small_batches(spark)
     folder = folder or fresh_folder(spark, "tokens")
@@ -116,7 +119,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str | Non
                     outs = [files.open_output_stream(f"{place}/{name}.{kind}") for kind in ("tokens", "offsets", "documents")]
                 ids, ends = encoder.encode(piece.column(1), end_id)
                 ends = ends + total
-                outs[0].write(ids.astype("<u4").tobytes())
+                outs[0].write(ids.astype(np.dtype(token_type).newbyteorder("<")).tobytes())
                 outs[1].write(ends.astype("<u8").tobytes())
                 outs[2].write(piece.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
                 total, nulls, rows = int(ends[-1]), nulls + piece.column(0).null_count, rows + piece.num_rows
@@ -132,36 +135,21 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str | Non
     # One row per file.
     parts = cut(ordered.mapInArrow(run, "name string, part long, rows long, tokens long, nulls long")).orderBy("part").collect()
     bases = accumulate((p.tokens for p in parts), initial=0)
-    index = {"token_type": "uint32", "offset_type": "uint64", "end_id": end_id,
+    index = {"token_type": token_type, "offset_type": "uint64", "end_id": end_id,
              "parts": [{"name": p.name, "rows": p.rows, "tokens": p.tokens, "nulls": p.nulls, "base": b} for p, b in zip(parts, bases)]}
-    files, place = pa.fs.FileSystem.from_uri(folder)
-    files.create_dir(place, recursive=True)
-    with files.open_output_stream(f"{place}/index.json") as out:
-        out.write(json.dumps(index).encode())
+    write_json(folder, "index.json", index)
     return folder
 
 
-def _mapped(folder: str, name: str, kind: str) -> np.ndarray:
-    """A file as an array: mapped where the folder is a path, read elsewhere."""
-    local = re.match(r"(?:file:(?://)?)?(/.*)", folder)
-    if local:
-        path = f"{local[1]}/{name}"
-        with pa.memory_map(path) as file:
-            return np.frombuffer(file.read_buffer(), dtype=kind)
-    files, place = pa.fs.FileSystem.from_uri(folder)
-    with files.open_input_file(f"{place}/{name}") as file:
-        return np.frombuffer(file.read_buffer(), dtype=kind)
-
-
 def read_tokens(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32[, ids]`` of every document.
 
     ``start`` counts the ids of all documents before it, ``n_tokens`` includes
-    the end id, ``ids_crc32`` is the unsigned crc32 of the document's bytes.
+    the end id, ``ids_crc32`` is the unsigned crc32 of the document's ids as
+    little-endian unsigned 32-bit integers.
     """
-    files, place = pa.fs.FileSystem.from_uri(folder)
-    with files.open_input_file(f"{place}/index.json") as file:
-        parts = json.loads(file.read())["parts"]
+    index = read_json(folder, "index.json")
+    parts, stored = index["parts"], np.dtype(index["token_type"]).newbyteorder("<").str
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
     if not parts:
         return spark.createDataFrame([], schema)
@@ -170,14 +158,14 @@ def read_tokens(spark: SparkSession, folder: str, with_ids: bool = True) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in batch.to_pylist():
-                tokens, ends, documents = (_mapped(folder, f"{part['name']}.{kind}", dtype)
-                                           for kind, dtype in (("tokens", "<u4"), ("offsets", "<u8"), ("documents", "<i8")))
+                tokens, ends, documents = (mapped(folder, f"{part['name']}.{kind}", dtype)
+                                           for kind, dtype in (("tokens", stored), ("offsets", "<u8"), ("documents", "<i8")))
                 ends = ends.astype(np.int64)
                 starts = np.concatenate([[0], ends[:-1]])
                 for at in range(0, len(ends), READ_ROWS):
                     a, b, ids = starts[at:at + READ_ROWS], ends[at:at + READ_ROWS], documents[at:at + READ_ROWS]
                     columns = [pa.array(ids, mask=np.arange(at, at + len(ids)) < part["nulls"]), pa.array(a + part["base"]), pa.array(b - a),
-                               pa.array([zlib.crc32(tokens[i:j]) for i, j in zip(a, b)], type=pa.int64())]
+                               pa.array([zlib.crc32(tokens[i:j].astype("<u4")) for i, j in zip(a, b)], type=pa.int64())]
                     if with_ids:
                         flat = pa.array(tokens[a[0]:b[-1]].astype(np.int64))
                         columns.append(pa.ListArray.from_arrays(pa.array(np.append(a, b[-1]) - a[0], type=pa.int32()), flat))

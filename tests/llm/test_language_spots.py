@@ -111,7 +111,7 @@ def test_edited_texts_follow_the_order_of_ids(spark):
     for (i, _), (j, _) in zip(ordered[:100], ordered[1:101]):
         r = next(x for x in result if x.doc_id == i)
         assert abs(r.near_next - (len(sets[i] & sets[j]) / len(sets[i] | sets[j]))) < 1e-12
-    assert np.median([r.near_edited for r in result]) > 0.5 and np.median([r.near_next for r in result]) < 0.1
+    assert np.median([r.near_edited for r in result if r.n_chars > 150]) > 0.5 and np.median([r.near_next for r in result]) < 0.1
     assert spots.edited_fingerprints(table(spark, [])).collect() == []
     only = spots.edited_fingerprints(table(spark, [(5, "just one text of the lot")])).first()
     assert only.near_next == 1.0

@@ -41,7 +41,7 @@ def test_files_hold_what_the_tokenizer_says(spark, tmp_path):
     assert sorted(map(tuple, got), key=lambda r: r[1]) == want
     index = json.load(open(f"{tmp_path}/tokens/index.json"))
     assert [p["base"] for p in index["parts"]] == list(np.cumsum([0, *[p["tokens"] for p in index["parts"]]])[:-1])
-    flat = np.concatenate([np.fromfile(f"{tmp_path}/tokens/{p['name']}.tokens", dtype="<u4") for p in index["parts"]])
+    flat = np.concatenate([np.fromfile(f"{tmp_path}/tokens/{p['name']}.tokens", dtype=index["token_type"]) for p in index["parts"]])
     assert flat.tolist() == [t for w in want for t in w[4]]
 
 
