@@ -1,5 +1,6 @@
 """Plain versions of what the operators compute, and shared small tables."""
 
+import hashlib
 import math
 import random
 import re
@@ -123,3 +124,52 @@ class ByteTrees:
             else:
                 total += 8
         return total
+
+
+def fitting(rows, order, limit):
+    """Rows (id, text, lang, source, n_chars) that some language fits."""
+    langs = sorted({r[2] for r in rows if r[2] is not None and r[1] is not None})
+    trees = {lang: ByteTrees([r[1] for r in rows if r[2] == lang and r[1] is not None], order) for lang in langs}
+    return [r for r in rows if r[1] and any(c.isalpha() for c in r[1]) and min(t.bits(r[1]) for t in trees.values()) <= limit * len(r[1].encode())]
+
+
+def without_site_lines(rows, ratio=0.1, least=3):
+    pages, seen = defaultdict(set), defaultdict(Counter)
+    for _, text, _, source, _ in rows:
+        pages[source].add(text)
+    for source, texts in pages.items():
+        for text in texts:
+            seen[source].update(set((text or "").split("\n")) if text is not None else ())
+    out = []
+    for i, text, lang, source, n in rows:
+        lines = (text or "").split("\n")
+        kept = [x for x in lines if not (seen[source][x] >= least and seen[source][x] > ratio * len(pages[source]))]
+        out.append((i, "\n".join(kept), lang, source, len("\n".join(kept)) if kept != lines else n))
+    return out
+
+
+def one_of_each_group(rows):
+    groups = near_groups([(r[0], r[1]) for r in rows])
+    first = {}
+    for r in sorted(rows, key=lambda r: (r[0], r[1] or "")):
+        if groups[r[0]][2]:
+            first.setdefault(r[0], r)
+    return list(first.values())
+
+
+def mixed(rows, seed=17):
+    def unit(*parts):
+        return int(hashlib.md5(":".join("" if p is None else str(p) for p in (seed, *parts)).encode()).hexdigest()[:13], 16) / 2**52
+
+    counts = Counter(r[3] for r in rows)
+    out = []
+    for r in rows:
+        rate = len(rows) * (1 / len(counts)) / counts[r[3]]
+        u, k, p = unit(r[3], r[0]), 0, math.exp(-rate)
+        total = p
+        while total <= u:
+            k += 1
+            p *= rate / k
+            total += p
+        out += [r] * k
+    return out
