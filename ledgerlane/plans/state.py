@@ -7,10 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from ledgerlane.operators import integrity as ig
+from ledgerlane.operators import reminders
 from ledgerlane.operators import scoring as sc
 from ledgerlane.operators import state as st
 from ledgerlane.plans import sql
 from ledgerlane.plans.registry import query
+from ledgerlane.plans.reminders import DUE_EMAIL
 from ledgerlane.plans.sql import with_
 from ledgerlane.schemas import DOCUMENTS
 from ledgerlane.session import checkpoint_folder
@@ -329,11 +331,24 @@ def read_back(spark, folder):
     return spark.read.schema(DOCUMENTS).parquet(f"{path}/documents").select("user_id", "id", "storage_key")
 
 
-@query("s08_outbox", with_(sql.JOBS, """
-SELECT 'document/' || document_id || '/' || generation AS message_key FROM jobs WHERE status = 'queued' GROUP BY ALL"""))
+@query("s08_outbox", with_(sql.REMINDERS + sql.JOBS.removeprefix(sql.BILLS), f""", {DUE_EMAIL}
+SELECT 'document' AS kind, CAST(CAST(updated_at AS DATE) AS VARCHAR) AS day, 'document/' || document_id || '/' || generation AS message_key FROM jobs WHERE status = 'queued'
+UNION SELECT 'reminder', CAST(CAST(remind_at AS DATE) AS VARCHAR), 'reminder/' || id FROM due
+UNION SELECT 'welcome', CAST(CAST(created_at AS DATE) AS VARCHAR), 'welcome/' || id FROM users WHERE welcome_status = 'pending' AND welcome_attempts < 5
+ AND (welcome_lease_until IS NULL OR welcome_lease_until < {sql.AS_OF})"""))
 def outbox(spark, folder):
-    queued = derive.document_jobs(spark, folder).filter("status = 'queued'")
-    return snapshot.outbox(queued, "document", ["document_id", "generation"]).select("message_key")
+    """All messages, written to an outbox twice and read back: a repeat adds nothing."""
+    users = derive.users(spark, folder)
+    due = reminders.due_email(derive.reminders(spark, folder), derive.bills(spark, folder), users, derive.as_of())
+    messages = (
+        snapshot.outbox(derive.document_jobs(spark, folder).filter("status = 'queued'"), "document", ["document_id", "generation"], F.col("updated_at"))
+        .unionByName(snapshot.outbox(due, "reminder", ["id"], F.col("remind_at")))
+        .unionByName(snapshot.outbox(reminders.welcome_queue(users, derive.as_of()), "welcome", ["id"], F.col("created_at")))
+    )
+    path = f"{checkpoint_folder(spark)}/outbox-{uuid.uuid4().hex}"
+    snapshot.emit_outbox(messages.filter("kind <> 'welcome'"), path)
+    snapshot.emit_outbox(messages, path)
+    return spark.read.schema(messages.schema).parquet(path)
 
 
 # --- scoring --------------------------------------------------------------
