@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlane.llm.common import remainder, small_batches
+from ledgerlane.llm.common import remainder, small_batches, small_side
 from ledgerlane.llm.words import bytes_of, mixed, pieces
 
 UNKNOWN = "und"
@@ -37,6 +37,8 @@ ORDER = 4
 # Bytes of text that a language is learned from, about: the bound that keeps
 # the model small.  Whole texts are sampled by a hash of their ids.
 SAMPLE_BYTES = 1_500_000
+# Languages (a row each) that may be broadcast.
+BROADCAST_LANGUAGES = 100_000
 # Bits of a byte beyond which no language is said to fit: half as many again as
 # plain bytes take, so that a few rare letters in a short text do not reach it.
 MAX_BITS = 12.0
@@ -132,6 +134,7 @@ def sample(docs: DataFrame, lang: Column, text: Column, key: Column, sample_byte
     """``lang, text`` of about ``sample_bytes`` bytes of every language."""
     labelled = docs.filter(lang.isNotNull() & text.isNotNull()).select(lang.alias("lang"), text.alias("text"), key.alias("key"))
     sizes = labelled.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes")).withColumnRenamed("lang", "of")
+    sizes = small_side(sizes, F.lit(1), BROADCAST_LANGUAGES)
     share = F.least(F.lit(1.0), F.lit(float(sample_bytes)) / F.greatest(F.col("bytes"), F.lit(1)))
     unit = F.pmod(F.xxhash64(F.lit(5), "key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return labelled.join(sizes, F.col("lang") == F.col("of")).filter(unit < share).select("lang", "text")
