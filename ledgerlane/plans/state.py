@@ -14,10 +14,9 @@ from ledgerlane.plans import sql
 from ledgerlane.plans.registry import query
 from ledgerlane.plans.reminders import DUE_EMAIL
 from ledgerlane.plans.sql import with_
-from ledgerlane.schemas import DOCUMENTS
 from ledgerlane.session import checkpoint_folder
 from ledgerlane.sources import derive, snapshot
-from ledgerlane.sources.tables import read_star
+from ledgerlane.sources.tables import read_star, read_tables
 
 
 def events(spark, folder):
@@ -324,11 +323,22 @@ def take_snapshot(spark, folder):
     return snapshot.verify_snapshot(spark, path)
 
 
+def stored(spark, folder):
+    """The six domain tables, written once and read with their declared types."""
+    path = f"{checkpoint_folder(spark)}/tables-{uuid.uuid4().hex}"
+    for name, df in derive.domain_tables(spark, folder).items():
+        df.write.parquet(f"{path}/{name}")
+    return read_tables(spark, path)
+
+
 @query("s01_read_tables", with_(sql.DOCUMENTS, "SELECT user_id, id, storage_key FROM documents_d"))
 def read_back(spark, folder):
-    path = f"{checkpoint_folder(spark)}/tables-{uuid.uuid4().hex}"
-    derive.documents(spark, folder).write.parquet(f"{path}/documents")
-    return spark.read.schema(DOCUMENTS).parquet(f"{path}/documents").select("user_id", "id", "storage_key")
+    return stored(spark, folder)["documents"].select("user_id", "id", "storage_key")
+
+
+@query("s01_read_all_tables", with_(sql.REMINDERS, COUNTS.format(bill="false", doc="false", rem="false")))
+def read_all(spark, folder):
+    return counts(stored(spark, folder))
 
 
 @query("s08_outbox", with_(sql.REMINDERS + sql.JOBS.removeprefix(sql.BILLS), f""", {DUE_EMAIL}
