@@ -47,7 +47,8 @@ def boilerplate(docs: DataFrame, host: Column, text: Column, ratio: float, min_p
 def drop_site_lines(docs: DataFrame, host: str | Column = "source", text_col: str = "text",
                     ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """``docs`` with boilerplate lines taken out of the text column, and two
-    further columns in a struct ``lines``: ``total`` and ``dropped``.
+    further columns in a struct ``lines``: ``total`` and ``dropped`` (in place of
+    a column of that name, if there is one).
 
     Lines are what stands between line feeds; an empty line counts as a line.
     A null text stays null (0 lines), an empty one has one empty line.  A null
@@ -55,20 +56,25 @@ def drop_site_lines(docs: DataFrame, host: str | Column = "source", text_col: st
     that was nothing but boilerplate becomes empty.  Rows that repeat each
     other are copies of a page.  An empty table gives no rows.
     """
-    site = F.col(host) if isinstance(host, str) else host
-    text = F.col(text_col)
-    marked = boilerplate(docs, site.cast("string"), text, ratio, min_pages)
-    lines = small_side(marked.select(F.col("host").alias("__host"), F.col("marks").alias("__marks")), F.size("__marks"), BROADCAST_LINES)
-    joined = docs.join(lines, site.cast("string").eqNullSafe(F.col("__host")), "left")
+    site = (F.col(host) if isinstance(host, str) else host).cast("string")
+    # Whole rows in one column, so that no name of theirs clashes with ours.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), site.alias("host"), F.col(text_col).alias("text"))
+    marked = boilerplate(rows, F.col("host"), F.col("text"), ratio, min_pages)
+    lines = small_side(marked.select(F.col("host").alias("of_host"), "marks"), F.size("marks"), BROADCAST_LINES)
+    joined = rows.join(lines, F.col("host").eqNullSafe(F.col("of_host")), "left")
+    text = F.col("text")
     parts = F.split(text, "\n", -1)
-    known = F.coalesce(F.col("__marks"), F.array().cast(lines.schema["__marks"].dataType))
+    known = F.coalesce(F.col("marks"), F.array().cast(lines.schema["marks"].dataType))
     kept = F.filter(parts, lambda line: ~F.array_contains(known, _mark(line)))
-    touched = F.col("__marks").isNotNull() & text.isNotNull()
-    return joined.select(
-        *[F.when(touched, F.array_join(kept, "\n")).otherwise(text).alias(c) if c.lower() == text_col.lower() else F.col(f"`{c}`")
-          for c in docs.columns],
+    touched = F.col("marks").isNotNull() & text.isNotNull()
+    done = joined.select(
+        "row", F.when(touched, F.array_join(kept, "\n")).otherwise(text).alias("cleaned"),
         F.struct(
             F.when(text.isNull(), 0).otherwise(F.size(parts)).cast("long").alias("total"),
             F.when(touched, F.size(parts) - F.size(kept)).otherwise(0).cast("long").alias("dropped"),
-        ).alias("lines"),
+        ).alias("counts"),
+    )
+    return done.select(
+        *[(F.col("cleaned") if c.lower() == text_col.lower() else F.col("row")[c]).alias(c) for c in docs.columns if c.lower() != "lines"],
+        F.col("counts").alias("lines"),
     )

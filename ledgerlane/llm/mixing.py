@@ -68,24 +68,21 @@ def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id",
     """Every document as often as its draw says, in a global random order.
 
     Returns all columns of ``docs`` and a struct ``mix``: ``copy`` (1, 2, ...),
-    ``copies``, ``rate``, ``place`` (the random number that orders the rows).  Rows are
-    dealt to partitions by ``place`` and sorted by it there.
+    ``copies``, ``rate``, ``place`` (the random number that orders the rows), in
+    place of a column of that name, if there is one.  Rows are dealt to
+    partitions by ``place`` and sorted by it there.
 
     A null source is a source of its own; rows that repeat an id draw the same
     count.  A null id draws by its source alone.  An empty table gives no rows.
     """
-    table = small_side(
-        rates(docs, source_col, weights, total).select(F.col("source").alias("__source"), F.col("rate").alias("__rate"), F.col("cdf").alias("__cdf")),
-        F.size("__cdf"), BROADCAST_POINTS)
-    rated = docs.join(table, F.col(source_col).eqNullSafe(F.col("__source")))
-    identity = [F.lit(seed), F.col(source_col), F.col(id_col)]
-    drawn = rated.withColumn("__u", unit_hash(*identity)).withColumn(
-        "__copies", F.size(F.filter("__cdf", lambda point: point <= F.col("__u"))))
-    copies = drawn.filter("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    placed = copies.withColumn("__place", unit_hash(*identity, F.col("__copy")))
-    return (
-        placed.repartition("__place").sortWithinPartitions("__place", "__copy")
-        .select(*[f"`{c}`" for c in docs.columns],
-                F.struct(F.col("__copy").cast("long").alias("copy"), F.col("__copies").cast("long").alias("copies"),
-                         F.col("__rate").alias("rate"), F.col("__place").alias("place")).alias("mix"))
-    )
+    table = small_side(rates(docs, source_col, weights, total).select(F.col("source").alias("of_source"), "rate", "cdf"), F.size("cdf"), BROADCAST_POINTS)
+    # Whole rows in one column, so that no name of theirs clashes with ours.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source_col).alias("source"), F.col(id_col).alias("id"))
+    identity = [F.lit(seed), F.col("source"), F.col("id")]
+    drawn = rows.join(table, F.col("source").eqNullSafe(F.col("of_source"))).withColumn("u", unit_hash(*identity)).withColumn(
+        "copies", F.size(F.filter("cdf", lambda point: point <= F.col("u"))))
+    copies = drawn.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    place = unit_hash(*identity, F.col("copy")).alias("place")
+    drawn_as = F.struct(F.col("copy").cast("long").alias("copy"), F.col("copies").cast("long").alias("copies"), "rate", place).alias("drawn")
+    placed = copies.select("row", drawn_as).repartition("drawn.place").sortWithinPartitions("drawn.place", "drawn.copy")
+    return placed.select(*[F.col("row")[c].alias(c) for c in docs.columns if c.lower() != "mix"], F.col("drawn").alias("mix"))

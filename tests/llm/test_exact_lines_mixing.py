@@ -75,6 +75,16 @@ def test_poisson_table_and_draws(spark):
     assert mix(table(spark, [])).collect() == [] and mix(df, weights={"none": 1.0}).collect() == []
 
 
+def test_columns_of_any_name(spark):
+    names = ["row", "host", "of_host", "marks", "page", "lines", "mix", "copy", "copies", "rate", "place", "u", "cdf", "id", "kept", "of_source"]
+    docs = table(spark, [(i, f"a\n{i}", None, "s") for i in range(20)]).selectExpr("*", *[f"{k} AS `{n}`" for k, n in enumerate(names)])
+    cleaned = drop_site_lines(docs).orderBy("doc_id").collect()
+    assert [r.text for r in cleaned] == [str(i) for i in range(20)] and all(r.marks == 3 and r.mix == 6 and r.lines.dropped == 1 for r in cleaned)
+    mixed = mix(docs).collect()
+    assert mixed and all(r.copies == 8 and r.lines == 5 and r.mix.copy >= 1 for r in mixed)
+    assert exact_groups(docs).count() == 20
+
+
 def test_large_rate_does_not_underflow(spark):
     got = mix(table(spark, [(i, "t", None, "s") for i in range(3)]), total=6000).collect()
     assert abs(len(got) - 6000) < 500
