@@ -22,7 +22,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -168,17 +167,19 @@ def _runs_of(data: np.ndarray, order: int) -> np.ndarray:
     return run
 
 
-def fit(counts: pd.DataFrame, order: int = ORDER) -> Model:
+def fit(counts: pa.Table, order: int = ORDER) -> Model:
     """The frozen model of ``lang, run, times``; shorter runs follow from them."""
-    languages = sorted(counts["lang"].unique())
-    by_language = [counts[counts["lang"] == lang] for lang in languages]
+    languages = sorted(counts["lang"].unique().to_pylist())
+    runs_all, times_all = counts["run"].to_numpy().view(np.uint64), counts["times"].to_numpy()
+    by_language = [(runs_all[own], times_all[own].astype(np.float64))
+                   for own in (pc.equal(counts["lang"], lang).to_numpy() for lang in languages)]
     keys, costs, contexts, escapes = [], [], [], []
     for k in range(order + 1):
         mask = np.uint64((1 << 8 * (k + 1)) - 1)
         tables = []
-        for rows in by_language:
-            runs, inverse = np.unique(rows["run"].to_numpy().astype(np.int64).view(np.uint64) & mask, return_inverse=True)
-            tables.append((runs, np.bincount(inverse, weights=rows["times"].to_numpy(dtype=np.float64))))
+        for own_runs, own_times in by_language:
+            runs, inverse = np.unique(own_runs & mask, return_inverse=True)
+            tables.append((runs, np.bincount(inverse, weights=own_times)))
         all_runs = np.unique(np.concatenate([t[0] for t in tables])) if tables else np.zeros(0, dtype=np.uint64)
         all_contexts = np.unique(all_runs >> np.uint64(8))
         cost = np.zeros((len(all_runs), len(languages)), dtype=np.float32)
@@ -208,7 +209,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """A model of all labelled rows of ``docs`` (the caller leaves out what is
     held out).  The runs that come to the driver are bounded by the sample."""
     texts = sample(docs, F.col(lang_col), F.col(text_col), F.col(id_col), sample_bytes)
-    return fit(count_runs(texts, order).toPandas(), order)
+    return fit(count_runs(texts, order).toArrow(), order)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -3,7 +3,6 @@
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from plain import Bigrams, ByteTrees, prose, table
 
@@ -18,7 +17,7 @@ LATIN = ["good morning world", "the world is small", "the sea", "world sea"]
 def test_code_lengths_are_those_of_byte_trees(spark):
     docs = table(spark, [(i, t, "el", "s") for i, t in enumerate(GREEK)] + [(10 + i, t, "en", "s") for i, t in enumerate(LATIN)])
     for order in (0, 2, 4):
-        counts = language_id.count_runs(docs.select("lang", "text"), order).toPandas()
+        counts = language_id.count_runs(docs.select("lang", "text"), order).toArrow()
         model = language_id.fit(counts, order)
         assert model.languages == ["el", "en"]
         texts = ["the world", "κόσμος", "", "x", "tha sea κ\n\n", "\x00ÿ", "good " * 50]
@@ -34,7 +33,7 @@ def test_identify_odd_rows(spark):
     got = sorted(((r.doc_id, r.lang_pred, r.bits_per_byte is None) for r in language_id.identify(table(spark, rows), model, keep=("source",)).collect()), key=str)
     assert got == sorted([(1, "en", False), (2, "el", False), (3, "und", True), (4, "und", True), (5, "und", True), (None, "en", False), (1, "en", False), (6, "en", False)], key=str)
     assert all(0 <= r.score <= 1 for r in language_id.identify(table(spark, rows), model).collect())
-    nothing = language_id.fit(pd.DataFrame({"lang": [], "run": [], "times": []}))
+    nothing = language_id.fit(pa.table({"lang": pa.array([], pa.string()), "run": pa.array([], pa.int64()), "times": pa.array([], pa.int64())}))
     assert {r.lang_pred for r in language_id.identify(table(spark, rows), nothing).collect()} == {"und"}
     assert language_id.identify(table(spark, []), model).collect() == []
 
