@@ -39,6 +39,8 @@ from ledgerlane.llm.words import pieces
 
 # Documents of an Arrow batch that a reader makes.
 READ_ROWS = 4096
+# Words whose ids a worker remembers, twice over (about 130 MB each time).
+MEMO_WORDS = 700_000
 
 
 class WordIds:
@@ -53,7 +55,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo = Memo(self._encode)
+        self.memo = Memo(self._encode, MEMO_WORDS)
 
     def _encode(self, words: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
