@@ -4,7 +4,9 @@ Ordinary words, names and paths take few tokens of a byte-pair vocabulary; a
 random string falls apart into about one token per one or two characters.  A
 run of key-like characters is reported as ``random`` if it has fewer characters
 per token than a limit, unless it is a known digest (a hexadecimal run of a
-digest's length), a UUID, a number, or an identifier made of words.
+digest's length), a UUID, a number, or an identifier made of two or more words
+that are each efficient in tokens.  A run of letters of one case is no such
+identifier: its tokens decide.
 
 The patterns named ``assign``, ``access`` and ``hex`` are found leftmost and
 without overlap, each by itself; what they find stays, whatever its tokens.
@@ -50,14 +52,23 @@ _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _WORD = 4
 
 
-def is_known(run: str) -> bool:
-    """A digest, a UUID, a number, or an identifier made of words."""
-    if len(run) in _DIGEST_SIZES and _DIGEST.match(run) or _UUID.match(run) or _NUMBER.match(run):
-        return True
+def is_fixed(run: str) -> bool:
+    """A digest, a UUID or a number."""
+    return bool(len(run) in _DIGEST_SIZES and _DIGEST.match(run) or _UUID.match(run) or _NUMBER.match(run))
+
+
+def words_in(run: str) -> list[str]:
+    """The words of a run with the shape of an identifier, else none."""
     parts = _PART.findall(run)
     words = [p for p in parts if not p[0].isdigit()]
-    # Words with a few numbers between or behind them.
-    return bool(words) and sum(map(len, words)) >= _WORD * len(words) and len(parts) - len(words) <= len(words) / 2
+    # Two words at least, with a few numbers between or behind them.
+    shaped = len(words) > 1 and sum(map(len, words)) >= _WORD * len(words) and len(parts) - len(words) <= len(words) / 2
+    return words if shaped else []
+
+
+def is_known(run: str) -> bool:
+    """A digest, a UUID, a number, or the shape of an identifier."""
+    return is_fixed(run) or bool(words_in(run))
 
 
 class Scanner:
@@ -71,6 +82,11 @@ class Scanner:
     def ratio(self, run: str) -> float:
         return len(run) / len(self.encoding.encode_ordinary(run))
 
+    def is_known(self, run: str) -> bool:
+        """As above, and the words of an identifier are each one token, or efficient."""
+        words = [] if is_fixed(run) else words_in(run)
+        return is_known(run) and all(len(t := self.encoding.encode_ordinary(w)) == 1 or len(w) >= MAX_RATIO * len(t) for w in words)
+
     def spans(self, text: str) -> list[tuple[int, int, int, float | None]]:
         """Start, place of the kind, end, characters per token."""
         found = [(m.start(), 0, m.end(), None) for m in _ASSIGN.finditer(text) if len(m[2]) >= 12]
@@ -78,7 +94,7 @@ class Scanner:
         found += [(m.start(), 2, m.end(), None) for m in _HEX.finditer(text)]
         for m in _RUN.finditer(text):
             start, end = m.span()
-            if any(s < end and start < e for s, _, e, _ in found) or is_known(m[0]):
+            if any(s < end and start < e for s, _, e, _ in found) or self.is_known(m[0]):
                 continue
             ratio = self.ratio(m[0])
             if ratio < MAX_RATIO:

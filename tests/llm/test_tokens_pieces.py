@@ -3,7 +3,9 @@
 import hashlib
 import json
 import os
+import random
 import re
+import string
 import struct
 import zlib
 
@@ -169,6 +171,23 @@ def test_secrets_by_patterns_and_tokens(spark):
     assert find_secrets(table(spark, []), RANKS).collect() == []
 
 
+def test_random_letters_of_one_case(spark):
+    rng, small, large = random.Random(6), string.ascii_lowercase, string.ascii_uppercase
+
+    def drawn(letters, n):
+        return "".join(rng.choice(letters) for _ in range(n))
+
+    keys = [drawn(letters, n) for letters in (small, large) for n in (20, 32, 64) for _ in range(100)]
+    keys += [f"{drawn(small, 12)}{mark}{drawn(letters, 12)}" for mark in "_-" for letters in (small, large) for _ in range(50)]
+    rows = [(i, f"the key {k} stands here") for i, k in enumerate(keys)]
+    words = ["someVeryLongIdentifierName", "path/to/the/settings/file", "internationalization", "MAX_CONNECTION_TIMEOUT"]
+    rows += [(1000 + i, f"the word {w} stands here") for i, w in enumerate(words)]
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in find_secrets(table(spark, rows), RANKS).collect()}
+    missed = [k for i, k in enumerate(keys) if got[i] != [("random", 8, 8 + len(k))]]
+    assert len(missed) <= len(keys) // 100, missed
+    assert not any(got[1000 + i] for i in range(len(words)))
+
+
 def test_base_patterns_without_shortcuts(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plain = {
