@@ -33,7 +33,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found on more than a tenth of a source's pages go."""
+    """Lines found on more than 6.5 % of a source's pages go."""
     cleaned = drop_site_lines(docs)
     return cleaned.withColumn("n_chars", F.when(F.col("lines.dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 

@@ -81,6 +81,12 @@ FROM documents d LEFT JOIN lists l ON d.source IS NOT DISTINCT FROM l.source
 """)
 def op5_drop_site_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Lines on more than a tenth of a source's pages taken out."""
+    return drop_site_lines(documents(spark, folder), ratio=0.1).select("doc_id", "source", "text", "lines.total", "lines.dropped")
+
+
+@_query("op5_drop_site_lines_in_gap", ORACLES["op5_drop_site_lines"].replace("c.n > 0.1::DOUBLE", "c.n > 0.065::DOUBLE"))
+def op5_drop_site_lines_in_gap(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines above the measured ratio taken out, as in the pipeline."""
     return drop_site_lines(documents(spark, folder)).select("doc_id", "source", "text", "lines.total", "lines.dropped")
 
 
