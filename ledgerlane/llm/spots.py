@@ -12,6 +12,7 @@ Likeness of fingerprints is the Jaccard similarity of the sets.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlane.llm.common import small_batches
+from ledgerlane.llm.common import cut, small_batches
 from ledgerlane.llm.words import bytes_of, distinct, hash_words, mixed, pieces, words_of
 
 # Common words of the languages at hand; a parameter of every operator here.
@@ -33,6 +34,10 @@ ANCHORS = tuple(
 CHAIN = 3
 # So many words without a common one make anchors of the words that follow.
 STRETCH = 8
+# Sets are similar from this Jaccard similarity on.
+SIMILAR = 0.5
+# Sets that share a spot and a partition are compared in cells of so many a side.
+CELL = 500
 
 _GAPS = np.array([not (chr(b).isalnum() or b >= 0x80) for b in range(256)])
 _PLACES = mixed(np.arange(301, 310, dtype=np.uint64)) | np.uint64(1)
@@ -106,6 +111,78 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, spots array<long>")
 
 
+def partition_starts(least: float, largest: int) -> list[int]:
+    """The smallest set size of each partition.  Two sets can reach ``least``
+    only if they are in the same partition or in neighbours."""
+    starts = [1]
+    while least < 1 and starts[-1] <= largest:
+        starts.append(math.floor(starts[-1] / least + 1e-9) + 1)
+    return starts
+
+
+def similar(prints: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """``one, other, jaccard``: similar documents of ``fingerprints()``.
+
+    A set of spots stands for all rows that have it, under their smallest id.
+    Different sets with a Jaccard similarity of at least ``least`` (above 0, at
+    most 1) are paired with each other, ``one`` the smaller id; a further row of
+    a set is paired with the smallest id only (1.0), not with every copy.  No
+    pair is dropped: a large group of different, similar sets gives all of its
+    pairs.  Rows without an id or without spots have no pair.
+
+    Sets are dealt to partitions by their sizes, and joined with sets of their
+    own and the next partition on the rarest spots (as many as must hold a
+    common one); what sizes or places of the spot rule out goes before the full
+    sets are compared.  A frequent spot is split into cells.
+    """
+    if not 0 < least <= 1:
+        raise ValueError("least must be above 0 and at most 1")
+    # Equal sets are told by 128 bits and their size.
+    mark = F.struct(F.xxhash64("spots").alias("a"), F.xxhash64(F.lit(17), "spots").alias("b"), F.size("spots").alias("size"))
+    rows = cut(prints.filter("doc_id IS NOT NULL AND size(spots) > 0").select("doc_id", "spots", mark.alias("mark")))
+    sets = cut(rows.groupBy("mark").agg(F.min("doc_id").alias("doc_id"), F.first("spots").alias("spots")))
+    size = F.col("mark.size")
+    starts = partition_starts(least, sets.agg(F.max("mark.size")).first()[0] or 0)
+    part = F.size(F.filter(F.array(*[F.lit(s) for s in starts]), lambda s: s <= size)) - 1
+
+    spots_ = sets.select("mark", F.explode("spots").alias("spot"))
+    times = spots_.groupBy("spot").agg(F.count("*").alias("n")).filter("n > 1")
+    # Spots of one set match nothing; they come first, as the rarest ones.
+    shared = spots_.join(times, "spot").groupBy("mark").agg(F.sort_array(F.collect_list(F.struct("n", "spot"))).alias("ranked"))
+    alone = size - F.size("ranked")
+    prefix = size - F.ceil(size * F.lit(least) - F.lit(1e-9)).cast("int") + 1
+    keys = cut(shared.select("mark", part.alias("part"), alone.alias("alone"), F.slice("ranked", F.lit(1), F.greatest(prefix - alone, F.lit(0))).alias("first"))
+               .select("mark", "part", "alone", F.posexplode("first").alias("k", "s"))
+               .select("mark", "part", (F.col("alone") + F.col("k")).alias("place"), F.col("s.spot").alias("spot"), F.col("s.n").alias("n")))
+
+    # A spot of n sets has a square of cells: one side goes to a row of it, the other to a column.
+    side = F.ceil(F.col("n") / F.lit(CELL)).cast("int")
+    own = F.pmod(F.xxhash64("mark"), side).cast("int")
+    every = F.explode(F.sequence(F.lit(0), side - 1))
+    ones = keys.select(F.col("mark").alias("m1"), F.col("place").alias("p1"), "spot", F.col("part").alias("at"), "part", own.alias("i"), every.alias("j"))
+    others = keys.select("mark", "place", "spot", "part", own.alias("j"), side.alias("side")).select(
+        F.col("mark").alias("m2"), F.col("place").alias("p2"), "spot", F.col("part").alias("of"), "j", "side", F.explode(F.array(F.col("part"), F.col("part") - 1)).alias("at"),
+    ).select("m2", "p2", "spot", "of", "j", "at", F.explode(F.sequence(F.lit(0), F.col("side") - 1)).alias("i"))
+    # Within a partition each pair once; the next partition only as the other.
+    a, b = F.col("m1.size"), F.col("m2.size")
+    needed = F.lit(least / (1 + least)) * (a + b) - F.lit(1e-6)
+    candidates = (
+        ones.join(others, ["spot", "at", "i", "j"])
+        .filter((F.col("part") < F.col("of")) | (F.col("m1") < F.col("m2")))
+        .filter(F.least(a, b) >= F.lit(least) * F.greatest(a, b) - F.lit(1e-6))
+        .filter(F.least(a - F.col("p1"), b - F.col("p2")) >= needed)
+        .select("m1", "m2").distinct()
+    )
+    left = sets.select(F.col("mark").alias("m1"), F.col("doc_id").alias("id1"), F.col("spots").alias("s1"))
+    right = sets.select(F.col("mark").alias("m2"), F.col("doc_id").alias("id2"), F.col("spots").alias("s2"))
+    common = F.size(F.array_intersect("s1", "s2"))
+    pairs = candidates.join(left, "m1").join(right, "m2").select(
+        F.least("id1", "id2").alias("one"), F.greatest("id1", "id2").alias("other"), (common / (F.size("s1") + F.size("s2") - common)).alias("jaccard"),
+    ).filter(F.col("jaccard") >= F.lit(least))
+    copies = rows.select("mark", "doc_id").join(sets.select("mark", F.col("doc_id").alias("one")), "mark").filter("doc_id != one")
+    return pairs.unionByName(copies.select("one", F.col("doc_id").alias("other"), F.lit(1.0).alias("jaccard")))
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows dealt to ranges of ids, so that each range also has the first row
     of the next one: ``part, guest, doc_id, text``, sorted by all of them.

@@ -127,3 +127,37 @@ def test_spots_are_anchors_and_chains():
     assert of("the cat sat down") & of("THE cat sat down! more words") and not of("the cat sat down") & of("of cat sat down")
     assert of("one two three four") and not of("")
     assert spots.likeness(np.array([1, 2, 3]), np.array([2, 3, 4])) == 0.5 and spots.likeness(np.array([]), np.array([])) == 1.0
+
+
+def test_similar_sets_of_a_table_are_all_found(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    sets = []
+    for group in range(25):  # near copies with a common core, in all sizes
+        core = rng.choice(2**20, size=int(rng.integers(1, 60)), replace=False)
+        for _ in range(6):
+            some = rng.choice(core, size=max(1, int(len(core) * rng.uniform(0.4, 1))), replace=False)
+            sets.append(sorted({7, *some.tolist(), *rng.choice(2**20, size=int(rng.integers(0, 12))).tolist()}))  # 7 is in all
+    sets += [sets[0], sets[0], sets[9], [], [3]]
+    rows = [(int(i), s) for i, s in zip(rng.permutation(len(sets)), sets)] + [(None, sets[0])]
+    prints = spark.createDataFrame(rows, "doc_id long, spots array<long>").repartition(5)
+    distinct = {}
+    for i, s in rows:
+        if i is not None and s:
+            distinct.setdefault(tuple(s), []).append(i)
+    for least, cell in ((0.3, 500), (0.5, 3), (0.55, 500), (0.8, 500), (1.0, 500)):
+        monkeypatch.setattr(spots, "CELL", cell)
+        want = {(min(ids), i): 1.0 for ids in distinct.values() for i in ids if i != min(ids)}
+        for s in distinct:
+            for t in distinct:
+                jaccard = len(set(s) & set(t)) / len(set(s) | set(t))
+                if s < t and jaccard >= least:
+                    want[tuple(sorted((min(distinct[s]), min(distinct[t]))))] = jaccard
+        got = spots.similar(prints, least).collect()
+        assert len(got) == len(want) and {(r.one, r.other): r.jaccard for r in got} == want
+    assert spots.similar(spark.createDataFrame([], "doc_id long, spots array<long>")).collect() == []
+
+
+def test_similar_documents_need_not_be_neighbours(spark):
+    text = prose(3, 80) + " the end of it"
+    docs = table(spark, [(1, text), (2, prose(4, 80)), (3, prose(5, 80)), (90, text + " and more words")])
+    assert [(r.one, r.other) for r in spots.similar(spots.fingerprints(docs)).collect()] == [(1, 90)]
