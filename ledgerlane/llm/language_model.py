@@ -1,4 +1,4 @@
-"""Interpolated modified Kneser-Ney bigram model.
+"""Interpolated modified Kneser-Ney model of two or three words.
 
 Counting is two Spark jobs over the training texts.  The first counts words, by
 64-bit hash; a word's number is the place of its hash among all hashes in
@@ -12,6 +12,15 @@ blocks of a range in one task that writes the range's arrays:
   ascending order; their counts; and the first word's total and its numbers of
   followers seen once, twice and more often.
 
+At order three a third job counts words behind pairs, by the place of the pair
+among all pairs:
+
+* ``triples-*``: for each pair, where its followers start; the followers and
+  their counts; and the sums of pairs that have many followers;
+* ``adjusted-*``: for each pair, how many different words it follows (its count,
+  if it starts a text), and the sums of these for its first word.  They take the
+  place of the counts of pairs.
+
 Workers memory-map these files and look words and pairs up in them.  A text is
 one sentence: its first word follows a start mark, and an end mark follows its
 last word.  A word outside the training texts has the share that is left over
@@ -40,6 +49,8 @@ HELD = 3_000_000
 # The end mark, as a hash no different from those of words.
 END = mixed(np.array([0xE0D], dtype=np.uint64))[0]
 _LOW = np.uint64(0xFFFFFFFF)
+# The sums of a pair with more followers than this are stored; others are added up when asked for.
+FEW = 8
 
 
 def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -73,11 +84,14 @@ def _counted(batches: Iterator[pa.RecordBatch], keys_of, edges: np.ndarray) -> I
         yield blocks_by_bucket(*total, edges)
 
 
-def train(texts: DataFrame, text_col: str = "text", folder: str | None = None) -> str:
+def train(texts: DataFrame, text_col: str = "text", folder: str | None = None, order: int = 2) -> str:
     """Learn from all rows of ``texts``; returns the folder of the model.
 
+    ``order`` is 2 or 3: a word behind one word, or behind two.
     Null texts count as empty: an end mark alone.
     """
+    if order not in (2, 3):
+        raise ValueError("order must be 2 or 3")
     spark = texts.sparkSession
     small_batches(spark)
     folder = folder or fresh_folder(spark, "model")
@@ -85,9 +99,11 @@ def train(texts: DataFrame, text_col: str = "text", folder: str | None = None) -
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = 1 << max(2, int(size / RANGE_BYTES).bit_length())
     words = _count_words(texts, folder, ranges)
-    index = {"ranges": ranges, "words": words, "tokens": sum(w["tokens"] for w in words), "vocabulary": sum(w["size"] for w in words)}
+    index = {"order": order, "ranges": ranges, "words": words, "tokens": sum(w["tokens"] for w in words), "vocabulary": sum(w["size"] for w in words)}
     write_json(folder, "words.json", index)
     _count_pairs(texts, folder, index)
+    if order == 3:
+        _count_triples(texts, folder, index)
     return folder
 
 
@@ -151,14 +167,14 @@ def _count_pairs(texts: DataFrame, folder: str, index: dict) -> None:
         words, times = np.unique(follower.astype(np.uint64), return_counts=True)
         continued = blocks_by_bucket(words, times.astype(np.uint64), seconds)
         yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([name]), pa.array([_by_count(counts)], type=pa.list_(pa.int64())),
-                                          pa.array([None], type=pa.int64()), pa.array([None], type=pa.binary())], names=names)
+                                          pa.array([len(keys)]), pa.array([None], type=pa.int64()), pa.array([None], type=pa.binary())], names=names)
         n = continued.num_rows
         yield pa.RecordBatch.from_arrays([pa.array([bucket] * n), pa.array([None] * n, type=pa.string()), pa.array([None] * n, type=pa.list_(pa.int64())),
-                                          continued.column(0), continued.column(1)], names=names)
+                                          pa.array([None] * n, type=pa.int64()), continued.column(0), continued.column(1)], names=names)
 
-    names = ["range", "name", "by_count", "bucket", "block"]
+    names = ["range", "name", "by_count", "size", "bucket", "block"]
     blocks = texts.mapInArrow(count, "bucket long, block binary")
-    merged_pairs = cut(by_bucket(blocks, finish, "range long, name string, by_count array<long>, bucket long, block binary", ranges))
+    merged_pairs = cut(by_bucket(blocks, finish, "range long, name string, by_count array<long>, size long, bucket long, block binary", ranges))
 
     def continuations(bucket: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         name = f"follows-{bucket:06d}-{TaskContext.get().taskAttemptId()}"
@@ -171,16 +187,89 @@ def _count_pairs(texts: DataFrame, folder: str, index: dict) -> None:
 
     follows = cut(by_bucket(merged_pairs.filter("bucket IS NOT NULL").select("bucket", "block"), continuations,
                             "range long, name string, by_count array<long>", ranges)).collect()  # a row per range
-    pairs = merged_pairs.filter("name IS NOT NULL").select("range", "name", "by_count").collect()
+    pairs = merged_pairs.filter("name IS NOT NULL").select("range", "name", "by_count", "size").collect()
     pair_kinds = [sum(p.by_count[k] for p in pairs) for k in range(4)]
     word_kinds = [sum(f.by_count[k] for f in follows) for k in range(6)]
+    sizes = {p.range: p.size for p in pairs}
     write_json(folder, "pairs.json", {
+        "bases": [sum(sizes.get(b, 0) for b in range(k)) for k in range(ranges + 1)], "by_count": {p.range: p.by_count for p in pairs},
         "firsts": firsts.tolist(), "pairs": {p.range: p.name for p in pairs}, "follows": {f.range: f.name for f in follows},
         "pair_discounts": _discounts(pair_kinds), "word_discounts": _discounts(word_kinds[:4]),
         "types": word_kinds[4], "words_by_follows": [word_kinds[0], word_kinds[1], word_kinds[5]],
     })
 
 
+def _count_triples(texts: DataFrame, folder: str, index: dict) -> None:
+    ranges, size = index["ranges"], index["vocabulary"]
+    known = read_json(folder, "pairs.json")
+    bases, bits = np.array(known["bases"], dtype=np.uint64), max(1, size.bit_length())
+    if int(bases[-1]).bit_length() + bits > 64:
+        raise ValueError("the number of a pair and that of a word do not fit 64 bits")
+    contexts = [b * int(bases[-1]) // ranges for b in range(ranges + 1)]
+    edges, shift = np.array(contexts, dtype=np.uint64) << np.uint64(bits), np.uint64(bits)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, pairs = _vocabulary(folder), _pair_model(folder)
+
+        def triples(column: pa.Array) -> np.ndarray:
+            hashes, bounds = tokens_of(column)
+            numbers = vocabulary.numbers(hashes)
+            distinct, inverse = np.unique(pairs_of(numbers, bounds, size), return_inverse=True)
+            place = pairs.places((distinct >> np.uint64(32)).astype(np.int64), (distinct & _LOW).astype(np.int64))[inverse]
+            later = np.ones(len(numbers), dtype=bool)
+            later[bounds[:-1]] = False  # the first word of a text is behind the start mark alone
+            at = np.flatnonzero(later)
+            return place[at - 1].astype(np.uint64) << shift | numbers[at].astype(np.uint64)
+
+        return _counted(batches, triples, edges)
+
+    def finish(bucket: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        name = f"triples-{bucket:06d}-{TaskContext.get().taskAttemptId()}"
+        low, high = contexts[bucket], contexts[bucket + 1]
+        context = (keys >> shift).astype(np.int64) - low
+        followers = np.bincount(context, minlength=high - low)
+        starts = np.concatenate([[0], np.cumsum(followers)])
+        many = np.flatnonzero(followers > FEW)
+        kinds = np.stack([np.bincount(context, weights=w, minlength=high - low)[many]
+                          for w in (counts.astype(np.float64), counts == 1, counts == 2, counts >= 3)], axis=1)
+        word = (keys & np.uint64((1 << bits) - 1)).astype(np.int64)
+        write_arrays(folder, name, starts=starts.astype("<u4"), followers=word.astype("<u4"), counts=counts.astype("<u4"),
+                     many=many.astype("<u4"), kinds=kinds.astype("<f8"))
+        pairs = _pair_model(folder)
+        places, times = np.unique(pairs.places(pairs.seconds(context + low), word).astype(np.uint64), return_counts=True)
+        continued = blocks_by_bucket(places, times.astype(np.uint64), bases)
+        n = continued.num_rows
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([bucket] + [None] * n, type=pa.int64()), pa.array([name] + [None] * n, type=pa.string()),
+             pa.array([_by_count(counts)] + [None] * n, type=pa.list_(pa.int64())),
+             pa.array([None, *continued.column(0).to_pylist()], type=pa.int64()), pa.array([None, *continued.column(1).to_pylist()], type=pa.binary())],
+            names=["range", "name", "by_count", "bucket", "block"])
+
+    blocks = texts.mapInArrow(count, "bucket long, block binary")
+    merged_triples = cut(by_bucket(blocks, finish, "range long, name string, by_count array<long>, bucket long, block binary", ranges))
+
+    def adjust(bucket: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        name = f"adjusted-{bucket:06d}-{TaskContext.get().taskAttemptId()}"
+        starts, _, _, seen = _pair_model(folder).files[bucket]
+        times = seen.copy()  # a pair behind no word starts a text, and keeps its count
+        times[keys.astype(np.int64) - int(bases[bucket])] = counts
+        first = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        kinds = np.stack([np.bincount(first, weights=w, minlength=len(starts) - 1)
+                          for w in (times.astype(np.float64), times == 1, times == 2, times >= 3)], axis=1)
+        write_arrays(folder, name, counts=times, kinds=kinds.astype("<f8"))
+        yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([name]), pa.array([_by_count(times)], type=pa.list_(pa.int64()))], names=["range", "name", "by_count"])
+
+    adjusted = cut(by_bucket(merged_triples.filter("bucket IS NOT NULL").select("bucket", "block"), adjust,
+                             "range long, name string, by_count array<long>", ranges)).collect()  # a row per range
+    triples = merged_triples.filter("name IS NOT NULL").select("range", "name", "by_count").collect()
+    pair_kinds = {int(b): n for b, n in known["by_count"].items()} | {a.range: a.by_count for a in adjusted}
+    write_json(folder, "triples.json", {
+        "contexts": contexts, "triples": {t.range: t.name for t in triples}, "adjusted": {a.range: a.name for a in adjusted},
+        "triple_discounts": _discounts([sum(t.by_count[k] for t in triples) for k in range(4)]),
+        "pair_discounts": _discounts([sum(n[k] for n in pair_kinds.values()) for k in range(4)]),
+    })
+
+
 def pairs_of(numbers: np.ndarray, bounds: np.ndarray, start: int) -> np.ndarray:
     """Each token behind the one before it; the first of a text behind ``start``."""
     before = np.empty_like(numbers)
@@ -219,9 +308,9 @@ class _Words:
 
 
 class _Pairs:
-    """The mapped arrays of pairs."""
+    """The mapped arrays of pairs; ``adjusted`` for the model of order three."""
 
-    def __init__(self, folder: str, size: int):
+    def __init__(self, folder: str, size: int, adjusted: bool = False):
         index = read_json(folder, "pairs.json")
         self.size, self.firsts = size, np.array(index["firsts"])
         self.files = {int(b): (mapped(folder, f"{n}.starts", "<i8"), mapped(folder, f"{n}.kinds", "<f8").reshape(-1, 4),
@@ -229,6 +318,13 @@ class _Pairs:
         self.follows = {int(b): mapped(folder, f"{n}.counts", "<u4") for b, n in index["follows"].items()}
         self.pair_discounts = np.array([0.0, *index["pair_discounts"]])
         self.word_discounts = np.array([0.0, *index["word_discounts"]])
+        self.bases = np.array(index["bases"])
+        if adjusted:
+            changed = read_json(folder, "triples.json")
+            self.pair_discounts = np.array([0.0, *changed["pair_discounts"]])
+            for b, n in changed["adjusted"].items():
+                starts, _, followers, _ = self.files[int(b)]
+                self.files[int(b)] = starts, mapped(folder, f"{n}.kinds", "<f8").reshape(-1, 4), followers, mapped(folder, f"{n}.counts", "<u4")
         self.types = index["types"]
         left = float(np.dot(self.word_discounts[1:], index["words_by_follows"]))
         self.unknown = left / self.types / (size + 1) if self.types else 1.0 / (size + 1)
@@ -245,6 +341,28 @@ class _Pairs:
             return np.full(len(numbers), self.unknown)
         return np.maximum(seen - self.word_discounts[np.minimum(seen, 3).astype(int)], 0) / self.types + self.unknown
 
+    def places(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """The place of each pair among all, -1 for one that is not known."""
+        out = np.full(len(first), -1, dtype=np.int64)
+        ranges = np.searchsorted(self.firsts, first, side="right") - 1
+        for b in np.unique(ranges[first >= 0]):
+            if b in self.files:
+                starts, _, followers, _ = self.files[b]
+                here = np.flatnonzero((ranges == b) & (first >= 0))
+                own = first[here] - self.firsts[b]
+                at, hit = found_in(followers, starts[own], starts[own + 1], second[here])
+                out[here] = np.where(hit, at + self.bases[b], -1)
+        return out
+
+    def seconds(self, places: np.ndarray) -> np.ndarray:
+        """The second word of the pair at each place."""
+        out = np.empty(len(places), dtype=np.int64)
+        ranges = np.searchsorted(self.bases, places, side="right") - 1
+        for b in np.unique(ranges):
+            here = np.flatnonzero(ranges == b)
+            out[here] = self.files[b][2][places[here] - self.bases[b]]
+        return out
+
     def probabilities(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         """Of ``second`` behind ``first``, given by number, ascending by first."""
         out = self.words(second)
@@ -255,15 +373,8 @@ class _Pairs:
             starts, kinds, followers, counts = self.files[b]
             here = np.flatnonzero((ranges == b) & (first >= 0))
             own, word = first[here] - self.firsts[b], second[here]
-            low, stop = starts[own], starts[own + 1]
-            high = stop.copy()
-            while (open_ := low < high).any():
-                middle = (low + high) >> 1
-                less = open_ & (followers[np.minimum(middle, len(followers) - 1)] < word)
-                low = np.where(less, middle + 1, low)
-                high = np.where(open_ & ~less, middle, high)
-            at = np.minimum(low, len(followers) - 1)
-            seen = np.where((low < stop) & (followers[at] == word), counts[at], 0)
+            at, hit = found_in(followers, starts[own], starts[own + 1], word)
+            seen = np.where(hit, counts[at], 0)
             of = kinds[own]
             total = of[:, 0]
             known = total > 0
@@ -274,14 +385,69 @@ class _Pairs:
         return out
 
 
+class _Triples:
+    """The mapped arrays of words behind pairs."""
+
+    def __init__(self, folder: str):
+        index = read_json(folder, "triples.json")
+        self.contexts = np.array(index["contexts"])
+        self.files = {int(b): (*(mapped(folder, f"{n}.{kind}", "<u4") for kind in ("starts", "followers", "counts", "many")),
+                               mapped(folder, f"{n}.kinds", "<f8").reshape(-1, 4)) for b, n in index["triples"].items()}
+        self.discounts = np.array([0.0, *index["triple_discounts"]])
+
+    def probabilities(self, pair: np.ndarray, word: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """Of ``word`` behind the pair at a place (-1: none), where ``out`` is that behind its second word."""
+        out = out.copy()
+        ranges = np.searchsorted(self.contexts, pair, side="right") - 1
+        for b in np.unique(ranges[pair >= 0]):
+            if b not in self.files:
+                continue
+            starts, followers, counts, many, sums = self.files[b]
+            here = np.flatnonzero((ranges == b) & (pair >= 0))
+            own = pair[here] - self.contexts[b]
+            low, stop = starts[own].astype(np.int64), starts[own + 1].astype(np.int64)
+            at, hit = found_in(followers, low, stop, word[here])
+            seen = np.where(hit, counts[at], 0)
+            kinds = np.zeros((len(here), 4))
+            few = stop - low <= FEW
+            for k in range(FEW):
+                some = np.flatnonzero(few & (low + k < stop))
+                n = counts[low[some] + k]
+                kinds[some, 0] += n
+                kinds[some, np.minimum(n, 3)] += 1
+            kinds[~few] = sums[np.searchsorted(many, own[~few])]
+            total = np.maximum(kinds[:, 0], 1)
+            found = np.maximum(seen - self.discounts[np.minimum(seen, 3)], 0) / total
+            left = kinds[:, 1:] @ self.discounts[1:] / total
+            out[here] = np.where(kinds[:, 0] > 0, found + left * out[here], out[here])
+        return out
+
+
+def found_in(values: np.ndarray, low: np.ndarray, stop: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each wanted value is in its ascending slice, and whether it is."""
+    high = stop.copy()
+    while (open_ := low < high).any():
+        middle = (low + high) >> 1
+        less = open_ & (values[np.minimum(middle, len(values) - 1)] < wanted)
+        low = np.where(less, middle + 1, low)
+        high = np.where(open_ & ~less, middle, high)
+    at = np.minimum(low, len(values) - 1)
+    return at, (low < stop) & (values[at] == wanted)
+
+
 @lru_cache(maxsize=1)
 def _vocabulary(folder: str) -> _Words:
     return _Words(folder)
 
 
 @lru_cache(maxsize=1)
-def _pair_model(folder: str) -> _Pairs:
-    return _Pairs(folder, _vocabulary(folder).size)
+def _pair_model(folder: str, adjusted: bool = False) -> _Pairs:
+    return _Pairs(folder, _vocabulary(folder).size, adjusted)
+
+
+@lru_cache(maxsize=1)
+def _triple_model(folder: str) -> _Triples:
+    return _Triples(folder)
 
 
 def score(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -292,9 +458,10 @@ def score(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
     (add one half).  A null text counts as empty: an end mark alone.
     """
     small_batches(docs.sparkSession)
+    order = read_json(folder, "words.json")["order"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, pairs = _vocabulary(folder), _pair_model(folder)
+        vocabulary, pairs = _vocabulary(folder), _pair_model(folder, order == 3)
         for batch in batches:
             for piece in pieces(batch):
                 hashes, bounds = tokens_of(piece.column(1))
@@ -305,7 +472,12 @@ def score(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
                 keys = (before + 1).astype(np.uint64) << np.uint64(32) | (numbers + 1).astype(np.uint64)
                 distinct, inverse = np.unique(keys, return_inverse=True)
                 first, second = (distinct >> np.uint64(32)).astype(np.int64) - 1, (distinct & _LOW).astype(np.int64) - 1
-                logs = np.log10(pairs.probabilities(first, second))[inverse]
+                chances = pairs.probabilities(first, second)[inverse]
+                if order == 3:
+                    pair = np.concatenate([[-1], pairs.places(first, second)[inverse][:-1]])
+                    pair[bounds[:-1]] = -1  # behind the start mark alone
+                    chances = _triple_model(folder).probabilities(pair, numbers, chances)
+                logs = np.log10(chances)
                 base = np.log10((counts + 0.5) / (vocabulary.tokens + 0.5 * (vocabulary.size + 1)))
                 starts, n = bounds[:-1], np.diff(bounds)
                 scores = np.add.reduceat(logs, starts)

@@ -141,9 +141,9 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query("op9_language_model")
 def op9_language_model(spark: SparkSession, folder: str) -> DataFrame:
-    """Learned from four fifths of the documents."""
+    """Three words, learned from four fifths of the documents."""
     docs = documents(spark, folder)
     held_out = language_model.held_out()
-    model = language_model.train(docs.filter(~held_out))
+    model = language_model.train(docs.filter(~held_out), order=3)
     scored = language_model.score(docs, model)
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")

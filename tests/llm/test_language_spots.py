@@ -1,6 +1,8 @@
 """Language identification, language model and fingerprints against plain versions."""
 
 import hashlib
+import math
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +73,53 @@ def test_scores_are_kneser_ney(spark):
         assert abs(total - 1) < 1e-9
 
 
+class Trigrams(Bigrams):
+    """Order three; pairs behind the start mark keep their counts."""
+
+    def __init__(self, texts):
+        super().__init__(texts)
+        tokens = [["<s>", *self.tokens(t)] for t in texts]
+        self.triples = Counter(x for t in tokens for x in zip(t, t[1:], t[2:]))
+        times = Counter((b, c) for _, b, c in self.triples)
+        self.pairs = Counter({p: c if p[0] == "<s>" else times[p] for p, c in self.pairs.items()})
+        self.contexts, self.wide = defaultdict(lambda: [0, 0, 0, 0]), defaultdict(lambda: [0, 0, 0, 0])
+        for counter, contexts in ((self.pairs, self.contexts), (self.triples, self.wide)):
+            for gram, c in counter.items():
+                key = gram[0] if len(gram) == 2 else gram[:2]
+                contexts[key][0] += c
+                contexts[key][min(c, 3)] += 1
+        self.d_pair, self.d_triple = self.discounts(self.pairs), self.discounts(self.triples)
+
+    def third(self, a, b, c):
+        if (a, b) not in self.wide:
+            return self.probability(b, c)
+        total, *kinds = self.wide[a, b]
+        left = sum(d * k for d, k in zip(self.d_triple[1:], kinds)) / total
+        return max(self.triples[a, b, c] - self.d_triple[min(self.triples[a, b, c], 3)], 0) / total + left * self.probability(b, c)
+
+    def score(self, text):
+        t = ["<s>", *self.tokens(text)]
+        return math.log10(self.probability(*t[:2])) + sum(math.log10(self.third(*x)) for x in zip(t, t[1:], t[2:]))
+
+
+def test_scores_of_order_three(spark):
+    learn = [prose(i, 60, 8 + i) for i in range(30)] + ["", None, "a", "a b a b a b", "The THE the", "a b c a b d"]
+    plain = Trigrams(learn)
+    folder = language_model.train(table(spark, list(enumerate(learn))), order=3)
+    rows = list(enumerate([*learn[:5], "", None, "w1 w2 unseen w3 w1", "unseen unseen", "a b", "a b c", prose(99, 2000, 40)]))
+    got = {r.doc_id: r for r in language_model.score(table(spark, rows), folder).collect()}
+    for i, t in rows:
+        assert np.isclose(got[i].score, plain.score(t), rtol=1e-9), t
+    for context in (("w1", "w2"), ("<s>", "a"), ("a", "b")):
+        assert abs(sum(plain.third(*context, w) for w in [*plain.counts, "no such word"]) - 1) < 1e-9
+    # What stands two words before tells the next word.
+    turns = ["x m p", "y m q"] * 50
+    two, three = (language_model.score(table(spark, [(1, "x m p")]), language_model.train(table(spark, list(enumerate(turns))), order=k)).first().score for k in (2, 3))
+    assert three > two + 0.1
+    empty = language_model.train(table(spark, []), order=3)
+    assert language_model.score(table(spark, [(1, "any word")]), empty).first().score == 0.0
+
+
 def test_model_of_nothing(spark):
     folder = language_model.train(table(spark, []))
     r = language_model.score(table(spark, [(1, "any word")]), folder).first()
