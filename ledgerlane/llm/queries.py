@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlane.llm import language_model
+from ledgerlane.llm import conversation_queries, language_model
 from ledgerlane.llm.common import documents
 from ledgerlane.llm.exact_dedup import exact_groups
 from ledgerlane.llm.language_id import held_out, identify, learn
@@ -147,3 +147,7 @@ def op9_language_model(spark: SparkSession, folder: str) -> DataFrame:
     model = language_model.train(docs.filter(~held_out), order=3)
     scored = language_model.score(docs, model)
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
+QUERIES |= conversation_queries.QUERIES
+ORACLES |= conversation_queries.ORACLES
