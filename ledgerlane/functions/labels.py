@@ -14,54 +14,151 @@ from ledgerlane.fixed import FIELD_LABELS, ITEM_COUNT_PREFIX, ROLE_LABELS, VALUE
 from ledgerlane.functions.text import (
     CLOSE, OPEN, WS, bare_rx, between, blank, let, rx, split_lines, tail, trim_all,
 )
+from ledgerlane.functions.words import rule_of_words, trie_pattern
 
-_SPAN = "array<struct<start:int,back:int,rule:int>>"
+_SPANS = "array<struct<start:int,end:int,rule:int,fits:boolean>>"
+# Spans are put together in groups, so that a line of many labels is not copied
+# once for each of them.
+_GROUP = 64
 
 
-def _chosen(line: Column, rules: list[str], keep=None) -> Column:
-    """Selected spans (start, back = -end, rule) of ``rules`` on ``line``.
+def _split_at(line: Column, pattern: str, groups: int) -> Column:
+    """What precedes the first match, then for each match its groups and the
+    text that follows, with marks between them."""
+    marks = OPEN + "".join(f"${i}{CLOSE}" for i in range(1, groups + 1))
+    return F.split(F.regexp_replace(line, pattern, marks), OPEN, -1)
 
-    One pass finds the word starts where any rule matches.  There, one more
-    match captures what each rule takes, side by side.
+
+def _folded(pieces: Column, begin: Column, step) -> Column:
+    """``step(state, piece)`` over all pieces but the first, left to right.
+
+    ``state.found`` collects spans.  Those of each group are collected apart.
     """
-    somewhere = rf"(?iu)(?<![\p{{L}}\p{{N}}])(?=(?:{'|'.join(rules)}))"
-    every = r"(?iu)\A" + "".join(f"(?=({r})?)" for r in rules) + r"(?s:.*)"
-    fields = CLOSE.join(f"${i}" for i in range(1, len(rules) + 1))
-    empty = F.array().cast(_SPAN)
-
-    def at_start(start: Column) -> Column:
-        taken = F.split(F.regexp_replace(tail(line, start), every, fields), CLOSE, -1)
-        return F.transform(
-            taken,
-            lambda m, rule: F.when(
-                m != "", F.struct(start.alias("start"), (-start - F.length(m)).alias("back"), rule.alias("rule"))
-            ),
-        )
+    none = F.array().cast(_SPANS)
 
-    def spans(pieces: Column) -> Column:
-        starts = F.transform(
-            F.sequence(F.lit(1), F.size(pieces) - 1),
-            lambda k: F.length(F.array_join(F.slice(pieces, F.lit(1), k), "")),
-        )
-        return F.filter(F.flatten(F.transform(starts, at_start)), lambda s: s.isNotNull())
+    def group(state: Column, number: Column) -> Column:
+        own = F.aggregate(F.slice(pieces, number * _GROUP + 2, F.lit(_GROUP)), state["own"].withField("found", none), step)
+        return let(own, lambda done: F.struct(done.alias("own"), F.array_append(state["all"], done["found"]).alias("all")))
+
+    groups = F.sequence(F.lit(0), F.floor((F.size(pieces) - 2) / _GROUP).cast("int"))
+    return F.aggregate(
+        groups, F.struct(begin.alias("own"), F.array().cast(f"array<{_SPANS}>").alias("all")), group,
+        lambda state: state["own"].withField("found", F.flatten(state["all"])))
+
+
+def _span(start: Column, end: Column, rule: Column, fits: Column) -> Column:
+    return F.struct(start.alias("start"), end.alias("end"), rule.alias("rule"), fits.alias("fits"))
+
+
+def _chosen(line: Column, patterns: list[str], gap: str, after: str, rest: str, fits) -> Column:
+    """Selected spans (start, end, rule, fits) of the rules on ``line``.
+
+    ``after`` has to follow a label, and ``rest`` is taken with it.
+    ``fits(before, first, taken, rule)`` looks at the text from the label before
+    (or from the line's start, if the label is the first); where it is null the
+    rule gives no label, else its answer stays with the span.
+
+    One pass over the line stops where the trie of all rules matches, and
+    writes there the longest label.  Spans are chosen from left to right; the
+    longest is the right one unless an earlier label that was not chosen
+    reaches into it (a rule does not match again inside its own match).  Only
+    a line with such a place is read with all rules side by side.
+    """
+    trie = trie_pattern(tuple(patterns), gap, after)
+    rules = rule_of_words(tuple(patterns))
+    # Two constants, each a small expression until the plan is optimized.
+    words = F.split(F.lit(CLOSE.join(rules)), CLOSE, -1)
+    numbers = F.split(F.lit(CLOSE.join(map(str, rules.values()))), CLOSE, -1).cast("array<int>")
+    none = F.array().cast(_SPANS)
+    longest = rf"(?iu)(?<![\p{{L}}\p{{N}}])(?=({trie})({rest}))"
+
+    def begin(pieces: Column, **more: Column) -> Column:
+        first = F.get(pieces, F.lit(0))
+        return F.struct(
+            F.length(first).alias("at"), first.alias("before"), F.lit(True).alias("first"), F.lit(0).alias("last"), none.alias("found"),
+            *[value.alias(name) for name, value in more.items()])
+
+    def ruled(own: Column, before: Column, first: Column) -> Column:
+        """Length, rule and fit of the longest label at a start."""
+        word = F.get(own, F.lit(0))
+        taken = F.concat(word, F.get(own, F.lit(1)))
+        spelling = F.lower(F.when(word.rlike(gap), F.regexp_replace(word, gap, " ")).otherwise(word))
+        rule = F.get(numbers, F.array_position(words, spelling).cast("int") - 1)
+        return let(rule, lambda r: F.struct(F.length(taken).alias("n"), r.alias("rule"), fits(before, first, taken, r).alias("fits")))
+
+    def alone(pieces: Column) -> Column:
+        """The label of a line with one start (``mixed`` as below)."""
+        before = F.get(pieces, F.lit(0))
+        start = F.length(before)
+
+        def chosen(x: Column) -> Column:
+            one = F.array(_span(start, start + x["n"], x["rule"], x["fits"]))
+            return F.struct((x["rule"].isNull() | x["fits"].isNull()).alias("mixed"), one.alias("found"))
+
+        return let(ruled(F.split(F.get(pieces, F.lit(1)), CLOSE, -1), before, F.lit(True)), chosen)
+
+    def step(state: Column, piece: Column) -> Column:
+        def told(own: Column) -> Column:
+            start, text = state["at"], F.get(own, F.lit(2))
+
+            def placed(x: Column) -> Column:
+                end, free = start + x["n"], state["reach"] <= start
+                new = free & x["fits"].isNotNull()
+                return F.struct(
+                    (start + F.length(text)).alias("at"), text.alias("before"), F.lit(False).alias("first"),
+                    F.when(new, end).otherwise(state["last"]).alias("last"),
+                    F.when(new, F.array_append(state["found"], _span(start, end, x["rule"], x["fits"]))).otherwise(state["found"]).alias("found"),
+                    F.greatest(state["reach"], end).alias("reach"),
+                    (state["mixed"] | x["rule"].isNull() | (free & x["fits"].isNull()) | (~free & (state["last"] <= start))).alias("mixed"),
+                )
 
-    def scan(kept: Column, s: Column) -> Column:
-        """A rule does not match again inside its own match."""
-        inside = F.exists(kept, lambda k: (k["rule"] == s["rule"]) & (-k["back"] > s["start"]))
-        return F.when(inside, kept).otherwise(F.array_append(kept, s))
+            return let(ruled(own, state["before"], state["first"]), placed)
 
-    def add(chosen: Column, s: Column) -> Column:
-        last = F.get(chosen, F.size(chosen) - 1)
-        free = (F.size(chosen) == 0) | (-last["back"] <= s["start"])
-        return F.when(free, F.array_append(chosen, s)).otherwise(chosen)
+        return F.when(state["mixed"], state).otherwise(let(F.split(piece, CLOSE, -1), told))
 
-    def choose(pieces: Column) -> Column:
-        found = F.aggregate(spans(pieces), empty, scan)
-        if keep is not None:
-            found = F.filter(found, lambda s: keep(line, s))
-        return F.when(F.size(pieces) > 1, F.aggregate(F.array_sort(found), empty, add)).otherwise(empty)
+    def read(pieces: Column) -> Column:
+        several = _folded(pieces, begin(pieces, reach=F.lit(0), mixed=F.lit(False)), step)
+        several = let(several, lambda done: F.struct(done["mixed"].alias("mixed"), done["found"].alias("found")))
+        return F.when(F.size(pieces) == 1, none).otherwise(
+            let(F.when(F.size(pieces) == 2, alone(pieces)).otherwise(several), lambda d: F.when(d["mixed"], _side_by_side(line, patterns, trie, after, rest, fits, begin)).otherwise(d["found"])))
 
-    return let(F.split(F.regexp_replace(line, somewhere, OPEN), OPEN, -1), choose)
+    return let(_split_at(line, longest, 2), read)
+
+
+def _side_by_side(line: Column, patterns: list[str], trie: str, after: str, rest: str, fits, begin) -> Column:
+    """``_chosen`` with what every rule takes at every start."""
+    rules = [f"(?:{bare_rx(p)}){after}{rest}" for p in patterns]
+    somewhere = rf"(?iu)(?<![\p{{L}}\p{{N}}])(?={trie})" + "".join(f"(?=({r})?)" for r in rules)
+    count = len(rules)
+
+    def step(state: Column, piece: Column) -> Column:
+        def told(taken: Column) -> Column:
+            start = state["at"]
+            lengths = F.transform(
+                F.slice(taken, 1, count),
+                lambda m, rule: F.when((m != "") & (F.get(state["ends"], rule) <= start), F.length(m)).otherwise(0))
+
+            def placed(sizes: Column) -> Column:
+                options = F.transform(
+                    sizes,
+                    lambda n, rule: F.when(n > 0, F.struct((-n).alias("back"), rule.alias("rule"), fits(state["before"], state["first"], F.get(taken, rule), rule).alias("fits"))))
+                best = F.array_min(F.filter(options, lambda o: o.isNotNull() & o["fits"].isNotNull()))
+                return let(best, lambda top: let(top.isNotNull() & (state["last"] <= start), lambda new: F.struct(
+                    (start + F.length(F.get(taken, F.lit(count)))).alias("at"),
+                    F.get(taken, F.lit(count)).alias("before"),
+                    F.lit(False).alias("first"),
+                    F.when(new, start - top["back"]).otherwise(state["last"]).alias("last"),
+                    F.when(new, F.array_append(state["found"], _span(start, start - top["back"], top["rule"], top["fits"]))).otherwise(state["found"]).alias("found"),
+                    F.zip_with(state["ends"], sizes, lambda e, n: F.when(n > 0, start + n).otherwise(e)).alias("ends"),
+                )))
+
+            return let(lengths, placed)
+
+        return let(F.split(piece, CLOSE, -1), told)
+
+    return let(
+        _split_at(line, somewhere, count),
+        lambda pieces: _folded(pieces, begin(pieces, ends=F.array_repeat(F.lit(0), count)), step)["found"])
 
 
 def _lookup(values: list, rule: Column) -> Column:
@@ -69,30 +166,30 @@ def _lookup(values: list, rule: Column) -> Column:
 
 
 # --- roles ----------------------------------------------------------------
-_ROLE_PATTERNS = [bare_rx(rf"(?:{p})(?![\p{{L}}\p{{N}}])[ \t:#.]*") for _, _, p in ROLE_LABELS]
 _BRAND_RULES = [i for i, (role, _, _) in enumerate(ROLE_LABELS) if role == "brand"]
 
 
-def _brand_cell(line: Column, span: Column) -> Column:
+def _brand_cell(before: Column, first: Column, taken: Column, rule: Column) -> Column:
     """Maker words inside product prose are no labels."""
-    prefix = F.substr(line, F.lit(1), span["start"])
-    return (
-        ~span["rule"].isin(_BRAND_RULES)
-        | blank(prefix)
-        | prefix.rlike(r"(?:\t[ \t]*|\|[ \t]*| {2,})\z")
-        | between(line, span["start"], -span["back"]).rlike("[:#]")
+    stands = (
+        ~rule.isin(_BRAND_RULES)
+        | (first & blank(before))
+        | before.rlike(r"(?:\t[ \t]*|\|[ \t]*| {2,})\z")
+        | taken.rlike("[:#]")
     )
+    return F.when(stands, True)
 
 
 def role_labels(line: Column) -> Column:
     """Labels of a line: role, priority, start, end."""
+    spans = _chosen(line, [p for _, _, p in ROLE_LABELS], f"{WS}+", r"(?![\p{L}\p{N}])", r"[ \t:#.]*", _brand_cell)
     return F.transform(
-        _chosen(line, _ROLE_PATTERNS, _brand_cell),
+        spans,
         lambda s: F.struct(
             _lookup([r for r, _, _ in ROLE_LABELS], s["rule"]).alias("role"),
             _lookup([p for _, p, _ in ROLE_LABELS], s["rule"]).alias("priority"),
             s["start"].alias("start"),
-            (-s["back"]).alias("end"),
+            s["end"].alias("end"),
         ),
     )
 
@@ -172,28 +269,26 @@ def has_date_label(lines: Column) -> Column:
 
 
 # --- label-only reader ----------------------------------------------------
-_FIELD_PATTERNS = [bare_rx(rf"(?:{p})(?=\z|[\s:#])") for _, _, p in FIELD_LABELS]
+def _field_cell(before: Column, first: Column, taken: Column, rule: Column) -> Column:
+    """Does a label stand at the start of a cell, or before a separator?"""
+    return (first & (before == "")) | taken.rlike(rx(r"[:#]|\s-\s")) | before.rlike(rx(r"(?:\t|[|;]| {2,})\s*\z"))
 
 
 def field_labels(line: Column) -> Column:
     """Labels of a line for the label-only reader: field, priority, start,
     end of the separator, and whether the separator is explicit."""
-    def described(s: Column) -> Column:
-        rest = tail(line, -s["back"])
-        separator = F.regexp_extract(rest, rx(r"\A(?:\s*[:#]\s*|\s+-\s+|\s+|\z)"), 0)
-        return F.struct(
+    separator = bare_rx(r"(?:\s*[:#]\s*|\s+-\s+|\s+|\z)")
+    spans = _chosen(line, [p for _, _, p in FIELD_LABELS], f"{WS}+", bare_rx(r"(?=\z|[\s:#])"), separator, _field_cell)
+    return F.transform(
+        F.filter(spans, lambda s: s["fits"]),
+        lambda s: F.struct(
             _lookup([f for f, _, _ in FIELD_LABELS], s["rule"]).alias("field"),
             _lookup([p for _, p, _ in FIELD_LABELS], s["rule"]).alias("priority"),
             s["start"].alias("start"),
-            (-s["back"] + F.length(separator)).alias("end"),
-            separator.rlike(rx(r"[:#]|\s-\s")).alias("explicit"),
-        )
-
-    def accepted(lab: Column) -> Column:
-        prefix = F.substr(line, F.lit(1), lab["start"])
-        return lab["explicit"] | (lab["start"] == 0) | prefix.rlike(rx(r"(?:\t|[|;]| {2,})\s*\z"))
-
-    return F.filter(F.transform(_chosen(line, _FIELD_PATTERNS), described), accepted)
+            s["end"].alias("end"),
+            between(line, s["start"], s["end"]).rlike(rx(r"[:#]|\s-\s")).alias("explicit"),
+        ),
+    )
 
 
 def label_values(text: Column) -> Column:
