@@ -1,10 +1,11 @@
 """Keyed state: quotas, claims, jobs, drafts and deliveries.
 
-Each rule is a small step ``(state, event) -> (state, outcome)``.  The batch
-fold spreads events by key, sorts inside the partitions (spilling to disk when
-needed) and streams the rows through the step, so the memory of a task does
-not grow with the size of a key.  ``streaming.state`` runs the same steps in
-Structured Streaming.
+Each rule is a small step ``(state, event) -> (state, outcome)``.  Rules whose
+states can be split (``operators.histories``) read the history of one key in
+parallel.  The others spread events by key, sort inside the partitions
+(spilling to disk when needed) and stream the rows through the step, so the
+memory of a task does not grow with the size of a key.  ``streaming.state``
+runs the same steps in Structured Streaming.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlane import fixed
+from ledgerlane.operators.histories import Splitting, Step, fold_split
 
-Step = Callable[[dict, dict], tuple[dict, str]]
+MICROSECOND = timedelta(microseconds=1)
 DAY = timedelta(days=1)
 
 
@@ -30,6 +32,7 @@ class Rule:
     step: Step
     key: tuple[str, ...]
     columns: tuple[str, ...]
+    splitting: Splitting | None = None
 
 
 def fold(events: DataFrame, rule: Rule) -> DataFrame:
@@ -37,6 +40,8 @@ def fold(events: DataFrame, rule: Rule) -> DataFrame:
 
     Adds ``outcome`` and ``state`` (the key's state after the event, as text).
     """
+    if rule.splitting:
+        return fold_split(events, rule, describe)
     key, columns = list(rule.key), list(dict.fromkeys([*rule.key, "event_id", "ts", *rule.columns]))
     step = rule.step
     schema = events.select(*key, "event_id").schema.add("outcome", "string").add("state", "string")
@@ -146,7 +151,9 @@ def extraction_step(state: dict, event: dict) -> tuple[dict, str]:
 
 def page_claims() -> Rule:
     """Who may read a page: new, failed or stale, at most three times."""
-    return Rule(page_step, ("document_id", "page_index"), ("kind",))
+    finite = tuple({"status": s, "attempts": n} for s in ("processing", "failed", "complete") for n in range(fixed.PAGE_ATTEMPTS + 1))
+    splitting = Splitting("_updated", MICROSECOND, finite, lambda event: [event["ts"] - STALE])
+    return Rule(page_step, ("document_id", "page_index"), ("kind",), splitting)
 
 
 def extraction_budget() -> Rule:
@@ -171,7 +178,12 @@ def job_step(state: dict, event: dict) -> tuple[dict, str]:
 def job_state() -> Rule:
     """Processing state of a document; old generations and finished jobs
     take no further progress."""
-    return Rule(job_step, ("document_id",), ("kind", "generation"))
+    def cuts(event: dict) -> list[int]:
+        generation = event["generation"] or 0
+        return [generation, generation + 1]
+
+    finite = tuple({"status": s} for s in ("queued", "reading", "extracting", "failed", "complete"))
+    return Rule(job_step, ("document_id",), ("kind", "generation"), Splitting("generation", 1, finite, cuts, moves=True))
 
 
 def recover_stale(jobs: DataFrame, as_of: Column, batch: int | None = None) -> DataFrame:
