@@ -24,9 +24,8 @@ ID = "document_id"
 def label_spans(docs: DataFrame) -> DataFrame:
     """One row per printed label: line, role, priority, start, end."""
     return (
-        docs.withColumn("lines", lb.annotate(F.col("text")))
-        .select(ID, F.posexplode("lines").alias("line_no", "x"))
-        .select(ID, "line_no", F.explode("x.labels").alias("label"))
+        docs.select(ID, F.posexplode(lb.labels_of_lines(F.col("text"))).alias("line_no", "labels"))
+        .select(ID, "line_no", F.explode("labels").alias("label"))
         .select(ID, "line_no", "label.*")
     )
 
@@ -39,7 +38,7 @@ def date_tokens(docs: DataFrame) -> DataFrame:
 def amount_cells(docs: DataFrame) -> DataFrame:
     """One row per money cell: role, raw text, priority, quote."""
     return (
-        docs.withColumn("lines", lb.annotate(F.col("text")))
+        docs.withColumn("lines", lb.annotate_texts(F.col("text")))
         .select(ID, F.posexplode(am.amount_cells(F.col("lines"))).alias("ord", "c"))
         .select(ID, "ord", "c.role", "c.raw", "c.priority", "c.quote")
     )
@@ -58,7 +57,7 @@ def totals(docs: DataFrame) -> DataFrame:
 
 def verified_amounts(docs: DataFrame) -> DataFrame:
     """Check suggested (value, quote) amounts against each document."""
-    quotes = docs.withColumn("quote_lines", lb.annotate(F.col("quote")))
+    quotes = docs.withColumn("quote_lines", lb.annotate_texts(F.col("quote")))
     verdict = ev.on_doc(
         lambda d, v, q, ql: ev.verify_amount(v, q, ql, d),
         v=F.col("value").cast("decimal(12,2)"), q=F.col("quote"), ql=F.col("quote_lines"),

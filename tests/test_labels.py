@@ -86,3 +86,17 @@ def test_twice_the_line_costs_twice_the_time(spark):
         assert df.collect()[0].n > words / 4
         seconds.append(time.perf_counter() - start)
     assert len(text) > 200_000 and seconds[1] < 4 * seconds[0] and seconds[1] < 30
+
+
+def test_whole_texts_are_read_alike(spark):
+    """Both forms of the pass, and brute force."""
+    rng = random.Random(8)
+    texts = ["\n".join(line(rng, rng.randrange(9)) for _ in range(rng.randrange(6))) for _ in range(300)]
+    texts += [None, "", "\r\n", "Total\r\nBrand x\n\n12", "Grand Total:\n\n100", "grand total change 3\ncredit card paid 5", "  Brand x", "Invoice no 5\rTotal 6"]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, t string").repartition(4)
+    rows = df.select("n", lb.annotate(F.col("t")).alias("a"), lb.annotate_texts(F.col("t")).alias("b"), lb.labels_of_lines(F.col("t")).alias("c")).collect()
+    for r in rows:
+        assert r.a == r.b, texts[r.n]
+        if texts[r.n] is not None:
+            want = [chosen(x, fixed.ROLE_LABELS, r"(?![\p{L}\p{N}])", r"[ \t:#.]*", maker) for x in regex.split("\r?\n", texts[r.n])]
+            assert [[(x.start, x.end) for x in own] for own in r.c] == [[(s, e) for s, e, _ in own] for own in want], texts[r.n]
