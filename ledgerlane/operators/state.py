@@ -254,6 +254,29 @@ def client_batches(edits: DataFrame, quiet_ms: int = fixed.AUTOSAVE_QUIET_MS) ->
     return last.select("document_id", F.min("first").over(whole).alias("start"), "field", "value")
 
 
+def resent_batches(batches: DataFrame, failed: DataFrame) -> DataFrame:
+    """What each batch of a document sends, when some are not saved.
+
+    ``batches``: document_id, start, field, value, as ``client_batches`` gives
+    them.  ``failed``: document_id, start of those that were answered by an
+    error; rows may repeat.  The fields of a failed batch stay pending: the next
+    batch sends them again, under its own newer edits, and so on until one is
+    saved.  Returns document_id, start, saved, field, value.  A null value is an
+    edit that clears its field.  What failed last is sent by no later batch.
+    """
+    key = ["document_id", "start"]
+    answers = batches.select(*key).distinct().join(failed.select(*key).distinct().withColumn("lost", F.lit(True)), key, "left")
+    earlier = Window.partitionBy("document_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    answers = answers.select(*key, F.col("lost").isNull().alias("saved")).withColumn("run", F.coalesce(F.sum(F.col("saved").cast("long")).over(earlier), F.lit(0)))
+    # Every field of a run of failures is looked at in each of its batches.
+    edits = batches.select(*key, "field", F.struct("value").alias("edit")).join(answers, key)
+    fields = edits.select("document_id", "run", "field").distinct()
+    grid = answers.join(fields, ["document_id", "run"]).join(edits.select(*key, "field", "edit"), [*key, "field"], "left")
+    so_far = Window.partitionBy("document_id", "run", "field").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
+    sent = grid.withColumn("sent", F.last("edit", ignorenulls=True).over(so_far)).filter("sent IS NOT NULL")
+    return sent.select(*key, "saved", "field", F.col("sent.value").alias("value"))
+
+
 # --- deliveries -----------------------------------------------------------
 LEASE = timedelta(seconds=fixed.DELIVERY_LEASE_SECONDS)
 WINDOW = timedelta(hours=fixed.DELIVERY_WINDOW_HOURS)

@@ -412,6 +412,72 @@ def review(spark, folder):
     return cd.assemble_review(documents, extracted, labels).select("document_id", "user_id", "has_result", "name", "brand")
 
 
+def stored_documents(spark, folder):
+    """Documents with results as they are stored, their pages and jobs.
+
+    By order key: 0 mod 2 with fields, 1 mod 4 a result without fields, 3 mod 4
+    none; 0 mod 5 a typed name, 1 mod 5 a cleared maker; 2 mod 7 a page that is
+    still read; 0 mod 8 with issues.
+    """
+    r, o = derive.receipts(spark, folder), F.col("o")
+    fields = F.struct(*[F.col(c).cast("string").alias(f) for f, c in fixed.FIELDS.items() if c in r.columns], F.lit("Other").alias("category"), F.lit("kept").alias("notes"))
+    quotes = F.struct(F.concat(F.lit("INVOICE no:  "), F.col("invoice_number")).alias("invoiceNumber"), F.concat(F.lit("Barcode: "), F.col("barcode")).alias("barcode"), F.lit("never printed").alias("notes"))
+    issues = F.struct(F.when(o % 8 == 0, "ambiguous").alias("name"), F.lit("odd").alias("retailer"))
+    result = F.struct(
+        F.when(o % 2 == 0, fields).alias("fields"), F.when(o % 2 == 0, quotes).alias("evidence"),
+        F.struct(F.when(o % 2 == 0, "model").otherwise("labels").alias("method")).alias("extraction"), F.struct(issues.alias("fieldIssues")).alias("extractionDiagnostics"))
+    typed = F.when(o % 5 == 0, F.create_map(F.lit("name"), F.lit("Typed name"))).when(
+        o % 5 == 1, F.create_map(F.lit("brand"), F.lit(None).cast("string")))
+    documents = r.select(
+        "document_id", "user_id", F.when(o % 3 != 0, F.col("document_id")).alias("item_id"), F.concat(F.col("invoice_number"), F.lit(".pdf")).alias("original_filename"),
+        F.lit("application/pdf").alias("content_type"), F.lit("review").alias("ocr_status"), F.lit(2).alias("page_count"), typed.alias("draft_fields"),
+        (o % 4).cast("int").alias("draft_revision"), F.when(o % 4 != 3, F.to_json(result)).alias("extracted_data"))
+    lines = F.split("text", "\n")
+    page = F.struct(F.lit(0).alias("page_index"), F.array_join(F.slice(lines, 1, 2), "\n").alias("text"), F.lit("complete").alias("status"))
+    rest = F.struct(F.lit(1).alias("page_index"), F.array_join(F.slice(lines, F.lit(3), F.size(lines)), "\n").alias("text"), F.lit("complete").alias("status"))
+    unread = F.struct(F.lit(2).alias("page_index"), F.lit("Invoice No: OTHER000999").alias("text"), F.lit("processing").alias("status"))
+    pages = r.select("document_id", F.explode(F.when(o % 7 == 2, F.array(page, rest, unread)).otherwise(F.array(page, rest))).alias("p")).select(
+        "document_id", "p.*", F.lit(0.9).alias("confidence"))
+    jobs = r.select("document_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("generation"), o).filter((o % 3 == 0) | (F.col("generation") == 1)).select(
+        "document_id", "generation", F.when(F.col("generation") == 2, "complete").otherwise("failed").alias("status"), (o % 3).cast("int").alias("completed_pages"))
+    return documents, pages, jobs
+
+
+_REVIEW_FIELDS = [c for c in fixed.FIELDS.values()]
+_FROM_LABELS = [c for c in _REVIEW_FIELDS if c not in ("category", "notes")]
+
+
+def _review_field(column):
+    fields = {"category": "'Other'", "notes": "'kept'", "purchase_price": "CAST(r.price AS VARCHAR)", "warranty_expires_at": "NULL", "return_expires_at": "NULL"}
+    stored = fields.get(column, f"CAST(r.{column} AS VARCHAR)")
+    read = f"CAST(x.{column} AS VARCHAR)" if column in _FROM_LABELS else "NULL"
+    shown = f"CASE WHEN r.o % 2 = 0 THEN {stored} ELSE {read} END"
+    if column == "name":
+        shown = f"CASE WHEN r.o % 5 = 0 THEN 'Typed name' ELSE {shown} END"
+    if column == "brand":
+        shown = f"CASE WHEN r.o % 5 = 1 THEN NULL ELSE {shown} END"
+    return f"{shown} AS {column}"
+
+
+@query("v16_load_review", with_(PRINTED, f"""
+, x AS ({EXTRACTED})
+SELECT r.document_id, r.user_id, CASE WHEN r.o % 3 <> 0 THEN r.document_id END AS item_id, r.invoice_number || '.pdf' AS filename, 'application/pdf' AS content_type,
+ 'review' AS status, CAST(2 AS INTEGER) AS page_count, CASE WHEN r.o % 2 = 0 THEN 'model' WHEN r.o % 4 = 1 THEN 'labels' END AS extraction_method,
+ CASE WHEN r.o % 8 = 0 THEN 'name=ambiguous' ELSE '' END AS issues, CASE WHEN r.o % 8 = 0 THEN 'ambiguous' END AS name_issue,
+ CASE WHEN r.o % 2 = 0 THEN 'barcode@' || '1,invoiceNumber@0,notes@-' ELSE '' END AS evidence,
+ CAST(CASE WHEN r.o % 7 = 2 THEN 3 ELSE 2 END AS INTEGER) AS pages, CASE WHEN r.o % 3 = 0 THEN 'complete' ELSE 'failed' END AS job_status,
+ CAST(r.o % 3 AS INTEGER) AS completed_pages, CAST(r.o % 4 AS INTEGER) AS draft_revision, r.o % 2 = 0 AS has_result, {', '.join(_review_field(c) for c in _REVIEW_FIELDS)}
+FROM r JOIN x USING (document_id)"""))
+def load_review(spark, folder):
+    found = cd.load_review(*stored_documents(spark, folder))
+    issues = F.array_sort(F.transform(F.map_entries("field_issues"), lambda e: F.concat_ws("=", e["key"], e["value"])))
+    places = F.array_sort(F.transform(F.map_entries("evidence"), lambda e: F.concat(e["key"], F.lit("@"), F.coalesce(e["value"]["page"].cast("string"), F.lit("-")))))
+    return found.select(
+        "document_id", "user_id", "item_id", "filename", "content_type", "status", "page_count", "extraction_method", F.array_join(issues, ",").alias("issues"), "name_issue",
+        F.coalesce(F.array_join(places, ","), F.lit("")).alias("evidence"), F.size("pages").alias("pages"), F.col("job.status").alias("job_status"),
+        F.col("job.completed_pages").alias("completed_pages"), "draft_revision", "has_result", *_REVIEW_FIELDS)
+
+
 # --- recognition ----------------------------------------------------------
 def detections(spark, folder):
     """Word boxes of every chat turn, laid out line by line.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerlane.operators import integrity as ig
@@ -180,13 +181,16 @@ def account_upsert(spark, folder):
     return st.account_upsert(events(spark, folder))
 
 
-@query("k14_client_batches", """
+CLIENT_BATCHES = """
 WITH e AS (SELECT *, CAST(ts AS TIMESTAMP) AS t FROM events),
 g AS (SELECT *, sum(CASE WHEN prev IS NULL OR t >= prev + INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t, event_id) AS island
   FROM (SELECT *, lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS prev FROM e)),
 s AS (SELECT *, min(t) OVER (PARTITION BY user_id, island) AS opened FROM g)
 SELECT CAST(user_id AS VARCHAR) AS document_id, strftime(min(opened), '%Y-%m-%d %H:%M:%S') AS start, event_type AS field, arg_max(CAST(CAST(value AS DECIMAL(12,2)) AS VARCHAR), (t, event_id)) AS value
-FROM s GROUP BY user_id, event_type, island""")
+FROM s GROUP BY user_id, event_type, island"""
+
+
+@query("k14_client_batches", CLIENT_BATCHES)
 def client_batches(spark, folder):
     edits = events(spark, folder).select(
         F.col("user_id").cast("string").alias("document_id"), "ts", "event_id", F.col("event_type").alias("field"),
@@ -195,6 +199,22 @@ def client_batches(spark, folder):
     return st.client_batches(edits, 6 * 3600 * 1000)
 
 
+@query("k14_resent_batches", f"""
+WITH b AS ({CLIENT_BATCHES}),
+answers AS (
+  SELECT document_id, start, row_number() OVER (PARTITION BY document_id ORDER BY start) % 7 <> 0 AS saved FROM (SELECT DISTINCT document_id, start FROM b)),
+since AS (SELECT a.document_id, a.start, a.saved, coalesce(max(p.start), '') AS last_saved FROM answers a
+  LEFT JOIN answers p ON p.document_id = a.document_id AND p.start < a.start AND p.saved GROUP BY ALL)
+SELECT s.document_id, s.start, s.saved, b.field, arg_max(b.value, b.start) AS value
+FROM since s JOIN b ON b.document_id = s.document_id AND b.start > s.last_saved AND b.start <= s.start GROUP BY ALL""")
+def resent_batches(spark, folder):
+    """Every seventh batch of a document is answered by an error."""
+    batches = client_batches(spark, folder)
+    nth = Window.partitionBy("document_id").orderBy("start")
+    failed = batches.select("document_id", "start").distinct().withColumn("n", F.row_number().over(nth)).filter("n % 7 = 0")
+    return st.resent_batches(batches, failed)
+
+
 # --- integrity ------------------------------------------------------------
 def thinned(spark, folder):
     """Tables whose bills lost every fiftieth order, and some rows' ranges."""
