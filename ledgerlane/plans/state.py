@@ -294,6 +294,17 @@ def delete_bills(spark, folder):
     return counts(ig.delete_bills(t, dead)[1])
 
 
+@query("r14_publish_deletes", with_(sql.REMINDERS, COUNTS.format(bill="dead", doc="(dead AND o % 3 <> 0)", rem="(o % 6 = 1)")))
+def publish_deletes(spark, folder):
+    """The tables stored as one version, bills deleted, stored as the next."""
+    root = f"{checkpoint_folder(spark)}/published-{uuid.uuid4().hex}"
+    before = snapshot.publish(derive.domain_tables(spark, folder), root)
+    t = snapshot.read_published(spark, root)
+    dead = t["bills"].filter(derive.order_of(F.col("id")) % 6 == 1).select("user_id", "id")
+    snapshot.publish(ig.delete_bills(t, dead)[1], root, base=before)
+    return counts(snapshot.read_published(spark, root))
+
+
 @query("r14_delete_bills_files", with_(sql.DOCUMENTS, "SELECT user_id, id AS document_id, storage_key FROM documents_d WHERE o % 6 = 1 AND item_id IS NOT NULL"))
 def delete_bills_files(spark, folder):
     t = derive.domain_tables(spark, folder)
