@@ -42,14 +42,11 @@ def schedule_changed(spark, folder):
 
 
 @query("r04_apply_schedule", with_(sql.REMINDERS, f"""
-, touched AS MATERIALIZED (SELECT * FROM bills WHERE o % 3 = 0),
-plan AS MATERIALIZED (SELECT c.* FROM channels c JOIN touched t ON t.user_id = c.user_id AND t.id = c.item_id WHERE c.remind_at > {sql.AS_OF})
-SELECT r.user_id, r.item_id, r.deadline_type, {ts('r.remind_at')}, r.channel,
- CASE WHEN p.item_id IS NOT NULL AND r.sent_at IS NULL AND r.delivery_started_at IS NULL THEN 'scheduled'
-      WHEN r.status = 'scheduled' AND r.o % 3 = 0 THEN 'cancelled' ELSE r.status END AS status,
- CASE WHEN p.item_id IS NOT NULL AND r.sent_at IS NULL AND r.delivery_started_at IS NULL THEN NULL ELSE {TS.format('r.snoozed_until')} END AS snoozed_until
-FROM reminders r LEFT JOIN plan p ON p.user_id = r.user_id AND p.item_id = r.item_id AND p.deadline_type = r.deadline_type
- AND p.remind_at = r.remind_at AND p.channel = r.channel"""))
+, told AS (SELECT *, o % 3 = 0 AND remind_at > {sql.AS_OF} AND sent_at IS NULL AND delivery_started_at IS NULL AS planned FROM reminders)
+SELECT user_id, item_id, deadline_type, {ts('remind_at')}, channel,
+ CASE WHEN planned THEN 'scheduled' WHEN status = 'scheduled' AND o % 3 = 0 THEN 'cancelled' ELSE status END AS status,
+ CASE WHEN NOT planned THEN {TS.format('snoozed_until')} END AS snoozed_until
+FROM told"""))
 def apply_schedule(spark, folder):
     bills, users = derive.bills(spark, folder), derive.users(spark, folder)
     touched = bills.filter(derive.order_of(F.col("id")) % 3 == 0)
