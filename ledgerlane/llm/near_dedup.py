@@ -22,6 +22,12 @@ shingle sets in two steps:
    is not compared pair by pair on its sets.  No size is capped, no pair that
    may be a link is skipped.
 
+Short sets (up to ``SHORT`` shingles) leave a band too little to agree on, so
+among them no link is left to chance: each also stands in a band for each of its
+rarest shingles, as many as two linked sets must have one of in common, and in
+step 2 their overlap is counted instead of estimated.  A text linked to one of
+up to 20 shingles has at most 26.
+
 Texts with equal shingle sets are one node throughout.
 """
 
@@ -31,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlane.llm.common import cut, small_batches, small_side
@@ -42,10 +48,13 @@ WORDS = 5
 SIMILARITY = 75  # percent
 PERMUTATIONS = 64
 BANDS = 32
+# Pairs of sets of up to this many shingles are found without chance.
+SHORT = 26
 # Members of a block that is compared with another one in one step.
 BLOCK = 256
 # Part of the 128 one-byte values that must agree before a pair of step 2 is
-# confirmed on its sets: at J = 0.75, five deviations below the mean.
+# confirmed on its sets: at J = 0.75, five deviations below the mean.  Pairs of
+# short sets do not pass through it.
 SIGN = 0.55
 # Similarity to the hub from which on what lies outside the hub is noted.
 NOTED = 35
@@ -89,7 +98,7 @@ def _sign(words: int):
                 some = np.flatnonzero(sizes)
                 n = piece.num_rows
                 sums = np.zeros((2, n), dtype=np.uint64)
-                keys, signs = [None] * n, [None] * n
+                keys, signs, short_sets = [None] * n, [None] * n, [None] * n
                 if len(some):
                     starts = bounds[:-1][some]
                     for k, seed in enumerate((1, 2)):
@@ -98,10 +107,13 @@ def _sign(words: int):
                     short = (mixed(signature) >> np.uint64(56)).astype(np.uint8)
                     for i, row, sign in zip(some, bands(signature).view(np.int64), short):
                         keys[i], signs[i] = row, sign.tobytes()
+                    for i in np.flatnonzero((sizes > 0) & (sizes <= SHORT)):
+                        short_sets[i] = values[bounds[i]:bounds[i + 1]].view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(0), pa.array(sizes), *[pa.array(s.view(np.int64)) for s in sums],
-                     pa.array(keys, type=pa.list_(pa.int64())), pa.array(signs, type=pa.binary())],
-                    names=["doc_id", "n_shingles", "sum_a", "sum_b", "bands", "sign"],
+                     pa.array(keys, type=pa.list_(pa.int64())), pa.array(signs, type=pa.binary()),
+                     pa.array(short_sets, type=pa.list_(pa.int64()))],
+                    names=["doc_id", "n_shingles", "sum_a", "sum_b", "bands", "sign", "small"],
                 )
 
     return run
@@ -171,11 +183,26 @@ def _compare_blocks(percent: int):
         left = np.flatnonzero(side != 1)
         right = np.flatnonzero(side != 0)
         need = SIGN * sign.shape[1]
+        small = rows.column(10).combine_chunks()
+        owners = np.repeat(np.arange(len(node)), small.value_lengths().fill_null(0).to_numpy())
+        codes = np.unique(small.flatten().to_numpy(), return_inverse=True)[1]
+        starts = np.searchsorted(owners, np.arange(len(node) + 1))
+        mark = np.zeros(len(codes) + 1, dtype=bool)
         a, b = [node[:0]], [node[:0]]
         for i in left:
             other = right[right > i] if side[i] == 2 else right
             fits = (component[other] != component[i]) & (100 * np.minimum(size[other], size[i]) >= percent * np.maximum(size[other], size[i]))
             other = other[fits]
+            if size[i] <= SHORT and len(other):
+                own = codes[starts[i]:starts[i + 1]]
+                mark[own] = True
+                overlap = np.bincount(owners[mark[codes]], minlength=len(node))
+                mark[own] = False
+                short = other[size[other] <= SHORT]
+                short = short[100 * overlap[short] >= percent * (size[short] + size[i] - overlap[short])]
+                a.append(np.minimum(node[i], node[short]))
+                b.append(np.maximum(node[i], node[short]))
+                other = other[size[other] > SHORT]
             other = other[(sign[other] == sign[i]).sum(axis=1) >= need]
             if len(other) and common[i] >= 0:
                 shared = np.bincount(owner[np.isin(flat, outs[i])], minlength=len(node))[other]
@@ -229,13 +256,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = cut(texts.mapInArrow(_sign(words), "doc_id long, n_shingles long, sum_a long, sum_b long, bands array<long>, sign binary"))
+    signed = cut(texts.mapInArrow(_sign(words), "doc_id long, n_shingles long, sum_a long, sum_b long, bands array<long>, sign binary, small array<long>"))
     identity = ["n_shingles", "sum_a", "sum_b"]
     nodes = cut(
         signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*identity)
-        .agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sign").alias("sign"))
+        .agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sign").alias("sign"), F.first("small").alias("small"))
     )
-    members = nodes.select("node", F.col("n_shingles").alias("size"), F.explode("bands").alias("band"))
+    members = nodes.select("node", F.col("n_shingles").alias("size"), F.explode("bands").alias("band")).unionByName(_rare(nodes, percent))
     shared = members.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1")
     in_shared = cut(members.join(shared, "band").select("band", "node", "size", "members"))
     degrees = in_shared.groupBy("node").agg(F.sum("members").alias("degree"))
@@ -258,7 +285,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = F.col("node") == F.col("hub")
     open_members = labelled.join(mixed_bands, "band").join(noted, ["hub", "node"], "left").select(
         "band", "members", "node", "size", "component", F.when(own, F.col("size")).otherwise(F.col("common")).alias("common"), "outside")
-    rest = cut(_close_pairs(open_members, nodes.select("node", "sign"), percent).distinct())
+    rest = cut(_close_pairs(open_members, nodes.select("node", "sign", "small"), percent).distinct())
     more = _measured(texts, rest, words, percent).filter("linked").select("a", "b")
     all_labels = _joined(labels, cut(more))
 
@@ -269,6 +296,22 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _rare(nodes: DataFrame, percent: int) -> DataFrame:
+    """``node, size, band``: a band for each of the rarest shingles of short sets.
+
+    Of ``n`` shingles, linked sets share at least ``percent``; whichever those
+    are, one is among the first ``n - least + 1`` of both sets, in one order of
+    all shingles.  Rare ones come first, so that few sets meet in a band.  What
+    is grouped by set has at most ``SHORT`` rows.
+    """
+    values = nodes.filter("small IS NOT NULL").select("node", F.col("n_shingles").alias("size"), F.explode("small").alias("value"))
+    repeated = values.groupBy("value").agg(F.count("*").alias("times")).filter("times > 1")
+    ranked = values.join(repeated, "value", "left").withColumn(
+        "place", F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("times", F.lit(1)), "value")))
+    first = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
+    return ranked.filter((F.col("place") <= first) & F.col("times").isNotNull()).select("node", "size", F.xxhash64(F.lit("short"), "value").alias("band"))
+
+
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels after further links: only components are linked anew."""
     ends = links
@@ -291,7 +334,7 @@ def _close_pairs(members: DataFrame, signs: DataFrame, percent: int) -> DataFram
         F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"),
         "node", "size", "component", "common", "outside")
     return (
-        units.join(signs, "node").select("band", "low", "high", "side", "node", "size", "component", "common", "outside", "sign")
+        units.join(signs, "node").select("band", "low", "high", "side", "node", "size", "component", "common", "outside", "sign", "small")
         .repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
         .mapInArrow(_compare_blocks(percent), "a long, b long")
     )

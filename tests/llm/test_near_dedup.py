@@ -39,6 +39,31 @@ def test_against_all_pairs(spark, monkeypatch, block):
     assert got == near_groups(rows)
 
 
+def short_corpus():
+    """Texts of 5 to 26 words, each beside edited ones, and a passage that many begin with."""
+    rng, rows = random.Random(11), []
+    for i in range(300):
+        text = [f"w{rng.randrange(40)}" for _ in range(rng.randrange(5, 27))]
+        rows.append((10 * i, " ".join(text)))
+        rows.append((10 * i + 1, " ".join(text + ["more"])))
+        rows.append((10 * i + 2, " ".join(["front", *text])))
+        rows.append((10 * i + 3, " ".join(text[:-1])))
+        rows.append((10 * i + 4, " ".join(["the same first words of many short texts", *text[:4]])))
+    return rows
+
+
+@pytest.mark.parametrize("blind", [False, True])
+def test_short_texts_without_chance(spark, monkeypatch, blind):
+    """Also where no minimum or maximum agrees and every pair is below the limit of signs."""
+    if blind:
+        monkeypatch.setattr(near_dedup, "SIGN", 1.1)
+        monkeypatch.setattr(near_dedup, "bands", lambda signature: near_dedup.mixed(
+            np.random.default_rng().integers(0, 2**63, (len(signature), near_dedup.BANDS)).astype(np.uint64)))
+    rows = short_corpus()
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_groups(table(spark, rows)).collect()}
+    assert got == near_groups(rows)
+
+
 def test_odd_rows(spark):
     text = prose(5, 80)
     df = table(spark, [(5, text), (5, text), (None, text), (2, text), (7, None)]).selectExpr("*", "1 AS node", "2 AS band", "3 AS component_id")
