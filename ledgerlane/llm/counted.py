@@ -106,6 +106,44 @@ def mapped(folder: str, name: str, kind: str) -> np.ndarray:
         return np.frombuffer(file.read_buffer(), dtype=kind)
 
 
+# Larger counts, and this one, stand at the end of a file of counts.
+LARGE = 2**32 - 1
+
+
+def with_large(counts: np.ndarray) -> np.ndarray:
+    """Counts as a file holds them: 32 bits each, then place and value of those
+    that need more, and how many these are (64 bits each)."""
+    large = np.flatnonzero(counts >= LARGE)
+    tail = np.concatenate([np.asarray(part).astype("<u8") for part in (large, counts[large], [len(large)])])
+    return np.concatenate([np.minimum(counts, LARGE).astype("<u4"), tail.view("<u4")])
+
+
+class Counts:
+    """The counts of a file written from ``with_large``, as 64-bit numbers."""
+
+    def __init__(self, words: np.ndarray):
+        n = int(words[-2:].view("<u8")[0])
+        stop = len(words) - 2 - 4 * n
+        self.low, tail = words[:stop], words[stop:-2].view("<u8")
+        self.places, self.values = tail[:n], tail[n:]
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        found = self.low[at].astype(np.int64)
+        large = np.flatnonzero(found == LARGE)
+        if len(large):
+            found[large] = self.values[np.searchsorted(self.places, at[large])]
+        return found
+
+    def all(self) -> np.ndarray:
+        found = self.low.astype(np.int64)
+        found[self.places.astype(np.int64)] = self.values
+        return found
+
+
+def mapped_counts(folder: str, name: str) -> Counts:
+    return Counts(mapped(folder, name, "<u4"))
+
+
 def write_json(folder: str, name: str, content: dict) -> None:
     files, place = pa.fs.FileSystem.from_uri(folder)
     files.create_dir(place, recursive=True)

@@ -23,7 +23,9 @@ among all pairs:
 
 Workers memory-map these files and look words and pairs up in them.  A text is
 one sentence: its first word follows a start mark, and an end mark follows its
-last word.  A word outside the training texts has the share that is left over
+last word.  Counts are whole at any size: those beyond 32 bits stand at the end of
+their file.  Numbers of words and places within a range have 32 bits; training
+raises where they do not suffice.  A word outside the training texts has the share that is left over
 for it in the distribution of continuations.
 """
 
@@ -39,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlane.llm.common import cut, fresh_folder, remainder, small_batches
-from ledgerlane.llm.counted import blocks_by_bucket, by_bucket, mapped, merged, read_json, write_arrays, write_json
+from ledgerlane.llm.counted import blocks_by_bucket, by_bucket, mapped, mapped_counts, merged, read_json, with_large, write_arrays, write_json
 from ledgerlane.llm.words import mixed, pieces, words_of
 
 # Bytes of text whose words make one range of keys, about.
@@ -141,6 +143,8 @@ def _by_count(counts: np.ndarray) -> list[int]:
 
 def _count_pairs(texts: DataFrame, folder: str, index: dict) -> None:
     ranges, size = index["ranges"], index["vocabulary"]
+    if size + 2 > 2**32:
+        raise ValueError("the numbers of words do not fit 32 bits")
     # Ranges of first words; the start mark comes behind the last word.
     firsts = np.array([b * (size + 1) // ranges for b in range(ranges + 1)], dtype=np.uint64)
     edges = firsts << np.uint64(32)
@@ -163,7 +167,7 @@ def _count_pairs(texts: DataFrame, folder: str, index: dict) -> None:
         kinds = np.stack([np.bincount(first, weights=w, minlength=high - low)
                           for w in (counts.astype(np.float64), counts == 1, counts == 2, counts >= 3)], axis=1)
         follower = (keys & _LOW).astype("<u4")
-        write_arrays(folder, name, starts=starts.astype("<i8"), kinds=kinds.astype("<f8"), followers=follower, counts=counts.astype("<u4"))
+        write_arrays(folder, name, starts=starts.astype("<i8"), kinds=kinds.astype("<f8"), followers=follower, counts=with_large(counts))
         words, times = np.unique(follower.astype(np.uint64), return_counts=True)
         continued = blocks_by_bucket(words, times.astype(np.uint64), seconds)
         yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([name]), pa.array([_by_count(counts)], type=pa.list_(pa.int64())),
@@ -229,11 +233,13 @@ def _count_triples(texts: DataFrame, folder: str, index: dict) -> None:
         context = (keys >> shift).astype(np.int64) - low
         followers = np.bincount(context, minlength=high - low)
         starts = np.concatenate([[0], np.cumsum(followers)])
+        if max(len(keys), high - low) >= 2**32:
+            raise ValueError("the places of a range do not fit 32 bits")
         many = np.flatnonzero(followers > FEW)
         kinds = np.stack([np.bincount(context, weights=w, minlength=high - low)[many]
                           for w in (counts.astype(np.float64), counts == 1, counts == 2, counts >= 3)], axis=1)
         word = (keys & np.uint64((1 << bits) - 1)).astype(np.int64)
-        write_arrays(folder, name, starts=starts.astype("<u4"), followers=word.astype("<u4"), counts=counts.astype("<u4"),
+        write_arrays(folder, name, starts=starts.astype("<u4"), followers=word.astype("<u4"), counts=with_large(counts),
                      many=many.astype("<u4"), kinds=kinds.astype("<f8"))
         pairs = _pair_model(folder)
         places, times = np.unique(pairs.places(pairs.seconds(context + low), word).astype(np.uint64), return_counts=True)
@@ -251,12 +257,12 @@ def _count_triples(texts: DataFrame, folder: str, index: dict) -> None:
     def adjust(bucket: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         name = f"adjusted-{bucket:06d}-{TaskContext.get().taskAttemptId()}"
         starts, _, _, seen = _pair_model(folder).files[bucket]
-        times = seen.copy()  # a pair behind no word starts a text, and keeps its count
+        times = seen.all()  # a pair behind no word starts a text, and keeps its count
         times[keys.astype(np.int64) - int(bases[bucket])] = counts
         first = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
         kinds = np.stack([np.bincount(first, weights=w, minlength=len(starts) - 1)
                           for w in (times.astype(np.float64), times == 1, times == 2, times >= 3)], axis=1)
-        write_arrays(folder, name, counts=times, kinds=kinds.astype("<f8"))
+        write_arrays(folder, name, counts=with_large(times), kinds=kinds.astype("<f8"))
         yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([name]), pa.array([_by_count(times)], type=pa.list_(pa.int64()))], names=["range", "name", "by_count"])
 
     adjusted = cut(by_bucket(merged_triples.filter("bucket IS NOT NULL").select("bucket", "block"), adjust,
@@ -314,7 +320,7 @@ class _Pairs:
         index = read_json(folder, "pairs.json")
         self.size, self.firsts = size, np.array(index["firsts"])
         self.files = {int(b): (mapped(folder, f"{n}.starts", "<i8"), mapped(folder, f"{n}.kinds", "<f8").reshape(-1, 4),
-                               mapped(folder, f"{n}.followers", "<u4"), mapped(folder, f"{n}.counts", "<u4")) for b, n in index["pairs"].items()}
+                               mapped(folder, f"{n}.followers", "<u4"), mapped_counts(folder, f"{n}.counts")) for b, n in index["pairs"].items()}
         self.follows = {int(b): mapped(folder, f"{n}.counts", "<u4") for b, n in index["follows"].items()}
         self.pair_discounts = np.array([0.0, *index["pair_discounts"]])
         self.word_discounts = np.array([0.0, *index["word_discounts"]])
@@ -324,7 +330,7 @@ class _Pairs:
             self.pair_discounts = np.array([0.0, *changed["pair_discounts"]])
             for b, n in changed["adjusted"].items():
                 starts, _, followers, _ = self.files[int(b)]
-                self.files[int(b)] = starts, mapped(folder, f"{n}.kinds", "<f8").reshape(-1, 4), followers, mapped(folder, f"{n}.counts", "<u4")
+                self.files[int(b)] = starts, mapped(folder, f"{n}.kinds", "<f8").reshape(-1, 4), followers, mapped_counts(folder, f"{n}.counts")
         self.types = index["types"]
         left = float(np.dot(self.word_discounts[1:], index["words_by_follows"]))
         self.unknown = left / self.types / (size + 1) if self.types else 1.0 / (size + 1)
@@ -391,8 +397,8 @@ class _Triples:
     def __init__(self, folder: str):
         index = read_json(folder, "triples.json")
         self.contexts = np.array(index["contexts"])
-        self.files = {int(b): (*(mapped(folder, f"{n}.{kind}", "<u4") for kind in ("starts", "followers", "counts", "many")),
-                               mapped(folder, f"{n}.kinds", "<f8").reshape(-1, 4)) for b, n in index["triples"].items()}
+        self.files = {int(b): (mapped(folder, f"{n}.starts", "<u4"), mapped(folder, f"{n}.followers", "<u4"),
+                               mapped_counts(folder, f"{n}.counts"), mapped(folder, f"{n}.many", "<u4"), mapped(folder, f"{n}.kinds", "<f8").reshape(-1, 4)) for b, n in index["triples"].items()}
         self.discounts = np.array([0.0, *index["triple_discounts"]])
 
     def probabilities(self, pair: np.ndarray, word: np.ndarray, out: np.ndarray) -> np.ndarray:
