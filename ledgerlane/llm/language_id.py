@@ -37,6 +37,7 @@ ORDER = 4
 # the model small.  Whole texts are sampled by a hash of their ids.
 SAMPLE_BYTES = 1_500_000
 # Languages (a row each) that may be broadcast.
+PIECE = 4096  # characters that are drawn into the sample at once
 BROADCAST_LANGUAGES = 100_000
 # Bits of a byte beyond which no language is said to fit: half as many again as
 # plain bytes take, so that a few rare letters in a short text do not reach it.
@@ -130,13 +131,23 @@ class _Index:
 
 
 def sample(docs: DataFrame, lang: Column, text: Column, key: Column, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
-    """``lang, text`` of about ``sample_bytes`` bytes of every language."""
-    labelled = docs.filter(lang.isNotNull() & text.isNotNull()).select(lang.alias("lang"), text.alias("text"), key.alias("key"))
-    sizes = labelled.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes")).withColumnRenamed("lang", "of")
+    """``lang, text`` of about ``sample_bytes`` bytes of every language.
+
+    What is drawn are pieces of at most ``PIECE`` characters, so one very long
+    text neither exceeds the bound nor is missed whole; the piece with the
+    smallest hash of a language is always taken.  A null language or text is
+    left out; an empty table gives no rows.
+    """
+    whole = docs.filter(lang.isNotNull() & text.isNotNull()).select(lang.alias("lang"), text.alias("text"), F.xxhash64(F.lit(5), key).alias("hash"))
+    cut_up = F.when(F.char_length("text") > PIECE, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))).otherwise(F.array("text"))
+    parts = whole.select("lang", "hash", F.posexplode(cut_up).alias("part", "text"))
+    hashed = F.when(F.col("part") == 0, F.col("hash")).otherwise(F.xxhash64("hash", "part"))
+    parts = parts.select("lang", "text", (F.pmod(hashed, F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("unit"))
+    sizes = parts.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"), F.min("unit").alias("first")).withColumnRenamed("lang", "of")
     sizes = small_side(sizes, F.lit(1), BROADCAST_LANGUAGES)
     share = F.least(F.lit(1.0), F.lit(float(sample_bytes)) / F.greatest(F.col("bytes"), F.lit(1)))
-    unit = F.pmod(F.xxhash64(F.lit(5), "key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return labelled.join(sizes, F.col("lang") == F.col("of")).filter(unit < share).select("lang", "text")
+    drawn = (F.col("unit") < share) | (F.col("unit") == F.col("first"))
+    return parts.join(sizes, F.col("lang") == F.col("of")).filter(drawn).select("lang", "text")
 
 
 def count_runs(texts: DataFrame, order: int = ORDER) -> DataFrame:

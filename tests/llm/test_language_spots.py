@@ -9,7 +9,7 @@ import pyarrow as pa
 from plain import Bigrams, ByteTrees, prose, table
 
 from ledgerlane.llm import language_id, language_model, spots
-from ledgerlane.llm.counted import merged, pack, unpack
+from ledgerlane.llm.counted import Counts, merged, pack, unpack, with_large
 from ledgerlane.llm.words import bytes_of
 
 GREEK = ["καλημέρα κόσμε", "ο κόσμος είναι μικρός", "η θάλασσα"]
@@ -48,6 +48,18 @@ def test_sample_is_bounded_by_bytes(spark):
     assert got["b"] == 300 and 350 < got["a"] < 650
 
 
+def test_languages_of_few_long_texts_are_in_the_sample(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, "ab\n" * 400_000, f"one text {i}", "s") for i in range(20)] + [(100 + i, "x" * 100, "many", "s") for i in range(3000)]
+    columns = F.col("lang"), F.col("text"), F.col("doc_id")
+    got = {r.lang: r.n for r in language_id.sample(table(spark, rows), *columns, 50_000).groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
+    assert set(got) == {"many", *(f"one text {i}" for i in range(20))} and all(4_000 <= n < 120_000 for n in got.values())
+    least = language_id.sample(table(spark, rows), *columns, 1).groupBy("lang").agg(F.count("*").alias("n")).collect()
+    assert len(least) == 21 and all(r.n >= 1 for r in least)
+    assert language_id.sample(table(spark, rows[:3]), *columns, 10**9).agg(F.sum(F.octet_length("text"))).first()[0] == 3 * 1_200_000
+
+
 def test_held_out_accuracy(spark):
     from ledgerlane.llm.queries import op1_language_id
 
@@ -120,6 +132,29 @@ def test_scores_of_order_three(spark):
     assert language_model.score(table(spark, [(1, "any word")]), empty).first().score == 0.0
 
 
+def test_counts_beyond_32_bits_stay_whole(spark, monkeypatch):
+    wanted = np.array([1, 2**32 - 2, 2**32 - 1, 2**32, 5, 2**60 + 1], dtype=np.uint64)
+    assert Counts(with_large(wanted)).all().tolist() == wanted.tolist()
+    assert Counts(with_large(wanted))[np.array([5, 0, 3, 3])].tolist() == [2**60 + 1, 1, 2**32, 2**32]
+    assert Counts(with_large(wanted[:0])).all().tolist() == []
+
+    # A corpus in which everything occurs 2^33 times as often.
+    plain, times = language_model._counted, np.uint64(2**33)
+
+    def often(batches, keys_of, edges):
+        for blocks in plain(batches, keys_of, edges):
+            data = [pack(keys, counts * times) for keys, counts in map(unpack, blocks.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([blocks.column(0), pa.array(data, type=pa.binary())], names=["bucket", "block"])
+
+    monkeypatch.setattr(language_model, "_counted", often)
+    folder = language_model.train(table(spark, [(1, "a b a b c"), (2, "a b")]), order=3)
+    pairs, triples = language_model._pair_model(folder), language_model._triple_model(folder)
+    assert sorted(n for f in pairs.files.values() for n in f[3].all()) == sorted(k * 2**33 for k in (2, 3, 1, 1, 1, 1))
+    assert sorted(n for f in triples.files.values() for n in f[2].all()) == [2**33] * 5 + [2**34]
+    rows = {r.doc_id: r for r in language_model.score(table(spark, [(1, "a b")]), folder).collect()}
+    assert rows[1].train_tokens == 9 * 2**33 and -1 < rows[1].score < 0
+
+
 def test_model_of_nothing(spark):
     folder = language_model.train(table(spark, []))
     r = language_model.score(table(spark, [(1, "any word")]), folder).first()
