@@ -34,11 +34,12 @@ UNKNOWN = "und"
 # Bytes of the longest context (at most 6).
 ORDER = 4
 # Bytes of text that a language is learned from, about: the bound that keeps
-# the model small.  Whole texts are sampled by a hash of their ids.
+# the model small.  Pieces of texts are sampled by a hash of their ids.
 SAMPLE_BYTES = 1_500_000
 # Languages (a row each) that may be broadcast.
-PIECE = 4096  # characters that are drawn into the sample at once
 BROADCAST_LANGUAGES = 100_000
+# Characters that are drawn into the sample at once, at most.
+PIECE = 4096
 # Bits of a byte beyond which no language is said to fit: half as many again as
 # plain bytes take, so that a few rare letters in a short text do not reach it.
 MAX_BITS = 12.0
