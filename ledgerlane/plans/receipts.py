@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ledgerlane import fixed
@@ -16,7 +18,9 @@ from ledgerlane.operators import scoring as sc
 from ledgerlane.plans import sql
 from ledgerlane.plans.registry import query
 from ledgerlane.plans.sql import with_
+from ledgerlane.session import checkpoint_folder
 from ledgerlane.sources import derive
+from ledgerlane.sources import originals as og
 from ledgerlane.sources import payloads as pl
 from ledgerlane.sources.tables import read_star
 
@@ -585,6 +589,33 @@ def originals(spark, folder):
     return pl.check_originals(files, manifest)
 
 
+# A file for each document: the head of one of the types, then its text.  Some are
+# empty, some of another type or size than declared, some are missing.
+HEADS = {"application/pdf": "255044462D312E37", "image/jpeg": "FFD8FFE0", "image/png": "89504E470D0A1A0A", "image/webp": "524946460102030457454250"}
+FILES = """f AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'image/png' WHEN 3 THEN 'image/webp' ELSE 'image/gif' END AS content_type,
+ CASE WHEN doc_id % 17 = 0 OR doc_id % 11 = 0 THEN 0
+      ELSE CASE doc_id % 5 WHEN 0 THEN 8 WHEN 1 THEN 4 WHEN 2 THEN 8 WHEN 3 THEN 12 ELSE 0 END + strlen(coalesce(text, '')) END AS length FROM documents)"""
+
+
+@query("s02_scan_folder", f"""WITH {FILES}, r AS (SELECT doc_id, CASE WHEN length = 0 THEN 'empty' WHEN doc_id % 13 = 0 THEN 'size differs'
+  WHEN content_type = 'image/gif' THEN 'type not accepted' WHEN doc_id % 7 = 0 THEN 'content is another type' END AS reason FROM f)
+SELECT CAST(doc_id AS VARCHAR) AS document_id, reason IS NULL AS ok, reason FROM r""")
+def scan_folder(spark, folder):
+    """Every text of the corpus written as an original, then scanned by listing and twelve bytes."""
+    n = F.col("document_id")
+    kinds = F.array(*[F.lit(kind) for kind in [*HEADS, "image/gif"]])
+    heads = F.array(*[F.unhex(F.lit(head)) for head in [*HEADS.values(), ""]])
+    docs = corpus(spark, folder).select(
+        "document_id", F.element_at(kinds, (n % 5 + 1).cast("int")).alias("content_type"),
+        F.when(n % 11 == 0, F.lit(b"")).otherwise(F.concat(F.element_at(heads, (n % 5 + 1).cast("int")), F.coalesce("text", F.lit("")).cast("binary"))).alias("content"))
+    damaged = F.when((n % 7 == 0) & (F.length("content") > 0), F.overlay("content", F.lit(b"<"), F.lit(1), F.lit(1))).otherwise(F.col("content"))
+    root = f"{checkpoint_folder(spark)}/originals-{uuid.uuid4().hex}"
+    og.write_files(docs.filter(n % 17 != 0).select(F.concat_ws("/", n % 64, n).alias("path"), damaged.alias("content")), root)
+    declared = F.length("content") + F.when(n % 13 == 0, 1).otherwise(0)
+    manifest = docs.select(n.cast("string").alias("document_id"), "content_type", declared.cast("long").alias("byte_size"))
+    return og.scan_originals(spark, root, manifest)
+
+
 def page_readings(spark, folder):
     """Sources of every document of the corpus, with gaps by id."""
     n = F.col("document_id")
