@@ -18,6 +18,7 @@ from ledgerlane.plans.sql import with_
 from ledgerlane.session import checkpoint_folder
 from ledgerlane.sources import derive, snapshot
 from ledgerlane.sources.tables import read_star, read_tables
+from ledgerlane.streaming import queues
 
 
 def events(spark, folder):
@@ -392,6 +393,28 @@ def outbox(spark, folder):
     return spark.read.schema(messages.schema).parquet(path)
 
 
+@query("k06_k11_changed_rows", with_(sql.REMINDERS + sql.JOBS.removeprefix(sql.BILLS), f"""
+SELECT 'document' AS kind, CAST(CAST(updated_at AS DATE) AS VARCHAR) AS day, 'document/' || document_id || '/' || generation AS message_key FROM jobs WHERE status = 'queued'
+UNION SELECT 'welcome', CAST(CAST(created_at AS DATE) AS VARCHAR), 'welcome/' || id FROM users WHERE welcome_status = 'pending' AND welcome_attempts < 5
+ AND (welcome_lease_until IS NULL OR welcome_lease_until < {sql.AS_OF})"""))
+def changed_rows(spark, folder):
+    """Jobs and accounts that arrive in two lots, the second with rows of the first; a run sends what is new."""
+    root = f"{checkpoint_folder(spark)}/queue-{uuid.uuid4().hex}"
+    jobs = derive.document_jobs(spark, folder).filter("status = 'queued'")
+    users = derive.users(spark, folder)
+    for name, df, key, messages in (
+        ("jobs", jobs, "document_id", lambda rows: snapshot.outbox(rows.filter("status = 'queued'"), "document", ["document_id", "generation"], F.col("updated_at"))),
+        ("users", users, "id", lambda rows: snapshot.outbox(reminders.welcome_queue(rows, derive.as_of()), "welcome", ["id"], F.col("created_at"))),
+    ):
+        third = F.pmod(F.xxhash64(key), F.lit(3))
+        for lot in (third < 2, third > 0):
+            df.filter(lot).write.mode("append").parquet(f"{root}/{name}")
+            changes = spark.readStream.schema(df.schema).parquet(f"{root}/{name}")
+            queues.send_changes(changes, messages, f"{root}/outbox-{name}", f"{root}/seen-{name}").awaitTermination()
+    both = queues.sent(spark, f"{root}/outbox-jobs").unionByName(queues.sent(spark, f"{root}/outbox-users"))
+    return both.select("kind", "day", "message_key")
+
+
 # --- scoring --------------------------------------------------------------
 SCORED = ["name", "brand", "purchase_price", "purchase_date", "serial_number"]
 
