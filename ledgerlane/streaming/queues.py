@@ -14,7 +14,7 @@ MESSAGES = "message_key string, batch_id long, kind string, day date"
 
 
 def sent(spark: SparkSession, folder: str) -> DataFrame:
-    """``kind, day, message_key`` of all messages sent to the outbox in ``folder``."""
+    """``kind, day, message_key, batch_id`` of all messages sent to the outbox in ``folder``."""
     return spark.read.schema(MESSAGES).parquet(folder).select("kind", "day", "message_key", "batch_id")
 
 
@@ -25,9 +25,8 @@ def send_batch(messages: DataFrame, folder: str, batch_id: int) -> None:
     a batch that is run again, after a failure in the middle or at its end, adds
     nothing.  Of earlier batches only the days that the new messages fall on are
     read.  ``messages`` (of ``snapshot.outbox``): kind, day, message_key; a key
-    that is repeated within them is sent once, on its first day.  Its day belongs
-    to a message, so a message without one cannot be told from a later repeat
-    and goes to a day of its own.
+    that is repeated within them is sent once, on its first day.  The day belongs to
+    the message, so a repeat has the same; having none counts as one more day.
     """
     here = f"{folder}/batch_id={batch_id}"
     if _written(messages.sparkSession, here):
